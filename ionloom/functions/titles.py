@@ -7,7 +7,7 @@ A library title packs several fields into one string:
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values of the title format
@@ -44,21 +44,26 @@ def even_level(title: Column) -> Column:
     return level_of(title, (2, 4))
 
 
-def _piece(text: Column, mark: str, index: int) -> Column:
-    return F.get(F.split(text, mark), F.lit(index))
+def _before(text: Column, mark: str) -> Column:
+    return F.substring_index(text, mark, 1)
+
+
+def _after(text: Column, mark: str) -> Column:
+    """Text between the first and second ``mark``; null without a mark."""
+    return F.when(text.contains(mark), F.split_part(text, F.lit(mark), F.lit(2)))
 
 
 def split_title(title: Column, strip_database: bool = False) -> dict[str, Column]:
     """Columns ``name, formula, ccs, adduct`` of a title; missing parts are null."""
     if strip_database:
         title = F.replace(title, F.lit(DATABASE_PREFIX), F.lit(""))
-    rest = _piece(title, FORMULA_MARK, 1)
-    tail = _piece(rest, CCS_MARK, 1)
+    rest = _after(title, FORMULA_MARK)
+    tail = _after(rest, CCS_MARK)
     return {
-        "name": _piece(title, FORMULA_MARK, 0),
-        "formula": _piece(rest, CCS_MARK, 0),
-        "ccs": _piece(tail, ADDUCT_MARK, 0),
-        "adduct": _piece(tail, ADDUCT_MARK, 1),
+        "name": _before(title, FORMULA_MARK),
+        "formula": _before(rest, CCS_MARK),
+        "ccs": _before(tail, ADDUCT_MARK),
+        "adduct": _after(tail, ADDUCT_MARK),
     }
 
 
@@ -74,21 +79,23 @@ def chain(name: Column) -> Column:
 
 def _number(text: Column) -> Column:
     """Numeric value of a chain token, 0 where the text is no plain number."""
-    return F.coalesce(F.when(text.rlike(_NUMBER), text.try_cast("double")), F.lit(0.0))
+    plain = F.when(text.rlike("^[0-9]{1,9}$"), text.cast("int").cast("double"))
+    return plain.when(text.rlike(_NUMBER), text.cast("double")).otherwise(F.lit(0.0))
 
 
 def chain_slots(chain_text: Column) -> Column:
     """Array of ``struct(fa, c, u, other)``, one per ``_``-separated acyl chain."""
+    part = lambda text, mark, n: F.split_part(text, F.lit(mark), F.lit(n))
 
     def parse(token: Column, position: Column) -> Column:
         # only the second chain may carry an unseparated "(OH)"
-        fa = F.when(position == 1, F.regexp_replace(token, r"\(", ";(")).otherwise(token)
-        after = F.get(F.split(fa, ":"), F.lit(1))
+        fa = F.when(position == 1, F.replace(token, F.lit("("), F.lit(";("))).otherwise(token)
+        after = part(fa, ":", 2)
         return F.struct(
             fa.alias("fa"),
-            _number(F.get(F.split(fa, ":"), F.lit(0))).alias("c"),
-            _number(F.get(F.split(after, ";"), F.lit(0))).alias("u"),
-            F.coalesce(F.get(F.split(after, ";"), F.lit(1)), F.lit("")).alias("other"),
+            _number(part(fa, ":", 1)).alias("c"),
+            _number(part(after, ";", 1)).alias("u"),
+            part(after, ";", 2).alias("other"),
         )
 
     return F.transform(F.split(chain_text, "_"), parse)
@@ -101,9 +108,10 @@ def total_carbons(slots: Column) -> Column:
 def total_unsaturation(slots: Column) -> Column:
     """``<double bonds>;<modifications>`` over all chains; every ``0`` leaves the second part."""
     bonds = F.aggregate(slots, F.lit(0.0), lambda total, s: total + s["u"])
-    whole = F.when(bonds == F.floor(bonds), bonds.cast("bigint").cast("string")).otherwise(bonds.cast("string"))
+    # whole numbers print without a fraction
+    whole = F.regexp_replace(bonds.cast("string"), r"\.0$", "")
     others = F.array_join(F.transform(slots, lambda s: s["other"]), "")
-    return F.concat(whole, F.lit(";"), F.regexp_replace(others, "0", ""))
+    return F.concat(whole, F.lit(";"), F.replace(others, F.lit("0"), F.lit("")))
 
 
 def chain_unsaturations(chain_text: Column) -> Column:
@@ -148,12 +156,21 @@ def normalise_name(name: Column) -> dict[str, Column]:
     return {"total": total, "meta_name": text, "subclass": subclass(text), "chain": tail}
 
 
-def annotation_columns(name: Column) -> dict[str, Column]:
-    """Columns ``subclass, chain, total_c, total_uns`` of a lipid name."""
-    slots = chain_slots(chain(name))
-    return {
-        "subclass": subclass(name),
-        "chain": chain(name),
-        "total_c": total_carbons(slots),
-        "total_uns": total_unsaturation(slots),
+def add_name_columns(df: DataFrame, name: str) -> DataFrame:
+    """Add ``subclass, chain, total_c, total_uns`` parsed from a lipid name.
+
+    The parsed chains are a column of their own, so that both totals read one
+    result instead of each parsing the name again. None of the columns is
+    nullable: a join on them then plans no null check that would repeat the
+    parsing below the scan.
+    """
+    text = F.coalesce(F.col(name), F.lit(""))
+    parsed = df.withColumns({"subclass": subclass(text), "chain": chain(text)})
+    slots = F.col("_slots")
+    filled = {
+        "subclass": F.coalesce("subclass", F.lit("")),
+        "chain": F.coalesce("chain", F.lit("")),
+        "total_c": F.coalesce(total_carbons(slots), F.lit(0.0)),
+        "total_uns": F.coalesce(total_unsaturation(slots), F.lit("")),
     }
+    return parsed.withColumn("_slots", chain_slots(F.col("chain"))).withColumns(filled).drop("_slots")

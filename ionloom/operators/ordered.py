@@ -8,6 +8,8 @@ chained across the group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,52 @@ def running_total(
     )
 
 
+def change_runs(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    value: str,
+    changed: Callable[[Column, Column], Column],
+    segment: Column,
+    out: str,
+) -> DataFrame:
+    """Number the runs of each group 1, 2, ... in the given order.
+
+    A row opens a new run when ``changed(previous value, value)`` holds.
+    Runs are counted inside each segment; whether a segment's first row goes
+    on with the run before it is settled on the per-segment summary.
+    """
+    local = Window.partitionBy(*keys, "_segment").orderBy(*order)
+    counted = (
+        df.withColumn("_segment", segment)
+        .withColumn("_before", F.lag(value).over(local))
+        .withColumn("_place", F.row_number().over(local))
+        .withColumn("_step", F.when(F.col("_place") == 1, 0).when(changed(F.col("_before"), F.col(value)), 1).otherwise(0))
+        .withColumn("_runs", F.sum("_step").over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    place = F.struct(*order)
+    summary = counted.groupBy(*keys, "_segment").agg(
+        F.min_by(value, place).alias("_head"), F.max_by(value, place).alias("_tail"), F.sum("_step").alias("_steps")
+    )
+    chain = Window.partitionBy(*keys).orderBy("_segment")
+    linked = summary.withColumn("_link", F.lag("_tail").over(chain)).withColumn("_nth", F.row_number().over(chain))
+    opens = F.when(F.col("_nth") == 1, 1).when(changed(F.col("_link"), F.col("_head")), 1).otherwise(0)
+    before = F.sum("_steps").over(chain.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = linked.withColumn("_opens", opens).select(
+        *keys,
+        "_segment",
+        (
+            F.sum("_opens").over(chain.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(before, F.lit(0))
+        ).alias("_offset"),
+    )
+    return (
+        counted.drop("_before", "_place", "_step")
+        .join(offsets, [*keys, "_segment"], "inner")
+        .withColumn(out, F.col("_runs") + F.col("_offset"))
+        .drop("_segment", "_runs", "_offset")
+    )
+
+
 def global_ordinal(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """Number all rows 1..n in a total order without a single-task window.
 

@@ -53,7 +53,7 @@ def evidence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def evidence_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = evidence.aggregate_level_runs(
-        d.lipids(spark, sf_dir), PEAK, ["price", "line", "quantity"], F.floor(F.col("price") / 1000)
+        d.lipids(spark, sf_dir), PEAK, ["price", "line", "quantity"], F.floor(F.col("price") / 20000)
     )
     return _rounded(runs, score1=6, score2=6)
 

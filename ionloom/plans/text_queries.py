@@ -13,6 +13,12 @@ from ionloom.sources import derived as d
 KEY = ["q", "line", "price", "quantity"]
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match records with the fields of their titles as columns."""
+    rows = d.lipids(spark, sf_dir).withColumn("description", titles.description(F.col("title")))
+    return rows.withColumns(titles.split_title(F.col("description")))
+
+
 @query(
     "title_split",
     f"""
@@ -63,10 +69,8 @@ def title_fields_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def subclass_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = titles.split_title(titles.description(F.col("title")))["name"]
-    rows = d.lipids(spark, sf_dir).withColumn(
-        "name", F.concat(name, F.when(F.col("q") % 4 == 0, "_CAH_x y").otherwise(""))
-    )
+    suffix = F.when(F.col("q") % 4 == 0, "_CAH_x y").otherwise("")
+    rows = _named(spark, sf_dir).withColumn("name", F.concat("name", suffix))
     return rows.select(
         *KEY, titles.subclass(F.col("name")).alias("subclass"), titles.chain(F.col("name")).alias("chain")
     )
@@ -82,12 +86,8 @@ def subclass_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def chain_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = titles.split_title(titles.description(F.col("title")))["name"]
-    slots = titles.chain_slots(titles.chain(name))
-    return d.lipids(spark, sf_dir).select(
-        *KEY, titles.total_carbons(slots).alias("total_c"), titles.total_unsaturation(slots).alias("total_uns"),
-        F.size(slots).alias("n_chains"),
-    )
+    rows = titles.add_name_columns(_named(spark, sf_dir), "name")
+    return rows.select(*KEY, "total_c", "total_uns", F.size(F.split("chain", "_")).alias("n_chains"))
 
 
 @query(
@@ -105,14 +105,14 @@ def chain_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def chain_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = titles.split_title(titles.description(F.col("title")))
-    info = titles.annotation_columns(parts["name"])
-    us = titles.chain_unsaturations(info["chain"])
-    return d.lipids(spark, sf_dir).select(
+    rows = titles.add_name_columns(_named(spark, sf_dir), "name").withColumn(
+        "us", titles.chain_unsaturations(F.col("chain"))
+    )
+    return rows.select(
         *KEY,
-        titles.chain_cluster(info["subclass"], info["total_uns"], info["chain"]).alias("chain_cluster"),
-        *[F.get(us, F.lit(i)).alias(f"fa{i + 1}") for i in range(4)],
-        F.concat(info["subclass"], info["total_uns"], parts["adduct"]).alias("cluster"),
+        titles.chain_cluster(F.col("subclass"), F.col("total_uns"), F.col("chain")).alias("chain_cluster"),
+        *[F.get("us", F.lit(i)).alias(f"fa{i + 1}") for i in range(4)],
+        F.concat("subclass", "total_uns", "adduct").alias("cluster"),
     )
 
 
@@ -140,13 +140,11 @@ def chain_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def name_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = titles.split_title(titles.description(F.col("title")))
-    info = titles.annotation_columns(parts["name"])
-    tokens = F.split(info["chain"], "_")
+    tokens = F.split(titles.chain(F.col("name")), "_")
     first, second = F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1))
     q = F.col("q")
     name = F.concat(
-        info["subclass"],
+        titles.subclass(F.col("name")),
         F.when(q % 3 == 0, " O-").when(q % 3 == 1, " P-").otherwise(" "),
         F.regexp_replace(first, ";O2", ""),
         F.when(q % 5 == 0, "-SN1").when(q % 5 == 1, "(methyl)").when(q % 5 == 2, "(OH)").otherwise(""),
@@ -154,7 +152,7 @@ def name_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
         second,
         F.when(q % 7 == 0, "(FA 18:1)").when(q % 7 == 1, "|AHexCer (O-18:1)").otherwise(""),
     )
-    rows = d.lipids(spark, sf_dir).withColumn("name", name)
+    rows = _named(spark, sf_dir).withColumn("name", name)
     return rows.select(*KEY, *[c.alias(n) for n, c in titles.normalise_name(F.col("name")).items()])
 
 
@@ -169,10 +167,8 @@ def name_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def formula_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    formula = titles.split_title(titles.description(F.col("title")))["formula"]
-    return d.lipids(spark, sf_dir).select(
-        *KEY, formula.alias("formula"), F.round(masses.formula_mass(formula), 6).alias("mass")
-    )
+    mass = masses.formula_mass(F.col("formula"))
+    return _named(spark, sf_dir).select(*KEY, "formula", F.round(mass, 6).alias("mass"))
 
 
 @query(
@@ -207,8 +203,7 @@ def formula_mass_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def adduct_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    adduct = titles.split_title(titles.description(F.col("title")))["adduct"]
-    rows = d.lipids(spark, sf_dir).withColumn("adduct", adduct)
+    rows = _named(spark, sf_dir)
     return rows.select(
         *KEY, "adduct",
         *[filters.adduct_allowed(F.col("adduct"), esi).alias(f"keep_{esi}") for esi in ("p", "n1", "n2")],

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom.functions.masses import formula_mass
-from ionloom.functions.titles import annotation_columns
+from ionloom.functions.titles import add_name_columns, description, split_title
 
 LIPID_CLASSES = ["PC", "PE", "TG", "Cer", "PI", "SM"]
 ADDUCTS = ["[M+H]+", "[M+CH3COO]-", "[M+HCOO]-", "[M-H]-"]
@@ -77,7 +77,7 @@ def lipids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("q", F.col("l_orderkey") * 2 + F.col("l_partkey") % 2)
     return rows.select(
         q,
-        F.concat(F.lit("run_"), _text(F.col("l_orderkey") % 3)).alias("file"),
+        F.coalesce(F.concat(F.lit("run_"), _text(F.col("l_orderkey") % 3)), F.lit("")).alias("file"),
         F.col("l_orderkey").alias("peak_num"),
         F.round(F.lit(500.0) + F.col("l_orderkey") % 1000 / 10.0, 1).alias("mz"),
         F.round(F.lit(2.0) + (c1 + c2 - 30) * 0.6 + F.col("l_orderkey") % 11 / 50.0, 2).alias("rt"),
@@ -92,8 +92,6 @@ def lipids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scored annotation per candidate ``q``, with its parsed lipid name."""
-    from ionloom.functions.titles import description, split_title
-
     rows = lipids(spark, sf_dir)
     best = rows.groupBy("q", "file", "peak_num", "mz", "rt", description(F.col("title")).alias("d")).agg(
         F.max("score1").alias("score_match"), F.max("score2").alias("score_ratio")
@@ -103,5 +101,4 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("q").alias("x"), "file", "peak_num", "mz", "rt", "score_match", "score_ratio",
         parts["name"].alias("title"), parts["formula"].alias("formula"), parts["adduct"].alias("adduct"),
     )
-    extra = annotation_columns(F.col("title"))
-    return named.select("*", *[c.alias(n) for n, c in extra.items()], formula_mass(F.col("formula")).alias("rawmz"))
+    return add_name_columns(named, "title").withColumn("rawmz", formula_mass(F.col("formula")))
