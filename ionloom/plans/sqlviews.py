@@ -35,7 +35,7 @@ spelled AS (
 lipids AS (
   SELECT q, 'run_' || (l_orderkey % 3) AS file, l_orderkey AS peak_num,
          round(500.0 + CAST(l_orderkey % 1000 AS DOUBLE) / 10.0, 1) AS mz,
-         round(2.0::DOUBLE + (c1 + c2 - 30) * 0.6::DOUBLE + CAST(l_orderkey % 11 AS DOUBLE) / 50.0, 2) AS rt,
+         round(2.0::DOUBLE + (c1 + c2 - 30) * 0.6::DOUBLE + CAST(l_orderkey % 4 AS DOUBLE) / 4.0, 2) AS rt,
          'LEVEL' || (1 + l_linenumber % 4) || '_DES_' || lipid_name || '-Fomula-' || lipid_formula
            || '-CCS-' || (q % 9) || '-Add-' || add_text AS title,
          round(0.4::DOUBLE + l_discount * 6, 2) AS score1, round(l_tax * 10, 1) AS score2,

@@ -80,7 +80,7 @@ def lipids(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.concat(F.lit("run_"), _text(F.col("l_orderkey") % 3)), F.lit("")).alias("file"),
         F.col("l_orderkey").alias("peak_num"),
         F.round(F.lit(500.0) + F.col("l_orderkey") % 1000 / 10.0, 1).alias("mz"),
-        F.round(F.lit(2.0) + (c1 + c2 - 30) * 0.6 + F.col("l_orderkey") % 11 / 50.0, 2).alias("rt"),
+        F.round(F.lit(2.0) + (c1 + c2 - 30) * 0.6 + F.col("l_orderkey") % 4 / 4.0, 2).alias("rt"),
         title.alias("title"),
         F.round(F.lit(0.4) + F.col("l_discount") * 6, 2).alias("score1"),
         F.round(F.col("l_tax") * 10, 1).alias("score2"),
