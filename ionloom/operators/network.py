@@ -81,7 +81,8 @@ def pair_sums(long: DataFrame, numbers: DataFrame, kernel: str, row: str = "samp
     Missing cells count as 0 and pairs with sum 0 are not listed. Returns
     positions ``i <= j`` and the sum ``s``.
     """
-    blocks = int(numbers.count() - 1) // BLOCK + 1
+    n_features = int(numbers.count())
+    blocks = max(n_features - 1, 0) // BLOCK + 1
     own = F.floor(F.col("feature_no") / BLOCK).cast("int")
     other = F.col("_other")
     spread = (
@@ -95,7 +96,8 @@ def pair_sums(long: DataFrame, numbers: DataFrame, kernel: str, row: str = "samp
     # all cells of a sample meet in one task per block pair, samples spread over all tasks
     placed = spread.repartition("bi", "bj", "row").sortWithinPartitions("bi", "bj", "row")
     partial = placed.mapInPandas(_pair_sums(kernel), "i long, j long, s double")
-    return partial.groupBy("i", "j").agg(F.sum("s").alias("s"))
+    # blocks are padded with empty features beyond the last one
+    return partial.filter(F.col("j") < n_features).groupBy("i", "j").agg(F.sum("s").alias("s"))
 
 
 def correlations(long: DataFrame, numbers: DataFrame, n_samples: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ionloom.operators import classify, cohort, linkage, modules, network
 from ionloom.operators.quantiles import quantiles
 from ionloom.plans.registry import query
+from ionloom.session import checkpoint_dir
 from ionloom.sources import derived as d
 
 BRANDS = [f"Brand#{n}" for n in range(1, 26)]
@@ -151,9 +152,12 @@ def _brand_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
         orders, F.col("l_orderkey") == F.col("o_orderkey")
     )
-    return joined.groupBy(F.col("o_custkey").alias("sample"), F.col("p_brand").alias("feature")).agg(
+    sales = joined.groupBy(F.col("o_custkey").alias("sample"), F.col("p_brand").alias("feature")).agg(
         F.sum("l_quantity").alias("value")
     )
+    # the cohort matrix is read by every step, so it is written out once
+    checkpoint_dir(spark)
+    return sales.checkpoint()
 
 
 _BRANDS_SQL = """
