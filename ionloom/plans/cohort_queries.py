@@ -266,8 +266,8 @@ def hierarchical_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("module_eigengenes")
 def module_eigengenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales, numbers, pairs, n = _brand_pairs(spark, sf_dir)
-    overlap = network.topological_overlap(network.adjacency(pairs, 4))
-    found = modules.detect_modules(numbers, overlap, cut_height=0.8, min_size=2)
+    overlap = network.topological_overlap(network.adjacency(pairs, 1))
+    found = modules.detect_modules(numbers, overlap, cut_height=0.55, min_size=2)
     scores = modules.eigengenes(sales, numbers, found, pairs, n)
     merged = modules.merge_modules(found, scores, n)
     final = modules.eigengenes(sales, numbers, merged, pairs, n)
