@@ -109,19 +109,17 @@ def good_features_and_samples(
     """
     present = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     features, samples = present.select("feature").distinct(), present.select("sample").distinct()
-    seen = None
+    n_features, n_samples = features.count(), samples.count()
     for _ in range(rounds):
+        seen = (n_features, n_samples)
         rows = present.join(features, "feature", "left_semi").join(samples, "sample", "left_semi")
-        n_samples, n_features = samples.count(), features.count()
-        if seen == (n_samples, n_features):
-            break
-        seen = (n_samples, n_features)
         features = (
             rows.groupBy("feature")
             .agg(F.count(F.lit(1)).alias("_n"), F.var_samp("value").alias("_var"))
             .filter((F.col("_n") >= max(min_count, min_fraction * n_samples)) & (F.col("_var") > 0))
             .select("feature")
         )
+        n_features = features.count()
         samples = (
             rows.join(features, "feature", "left_semi")
             .groupBy("sample")
@@ -129,6 +127,9 @@ def good_features_and_samples(
             .filter(F.col("_n") >= max(min(min_count, n_features), min_fraction * n_features))
             .select("sample")
         )
+        n_samples = samples.count()
+        if seen == (n_features, n_samples):
+            break
     return features, samples
 
 

@@ -10,56 +10,50 @@ from ionloom.operators.spectra import clean_library_peaks
 from ionloom.plans.registry import query
 from ionloom.sources import derived as d, msp
 
-_RECORD_PEAKS = """
-    kept AS (
-      SELECT l_partkey AS lid, l_extendedprice AS mz, l_quantity AS intensity, l_orderkey, l_linenumber FROM lineitem
-      QUALIFY l_quantity >= 0.1 * max(l_quantity) OVER (PARTITION BY l_partkey)),
-    firsts AS (
-      SELECT lid, mz, intensity FROM kept
-      QUALIFY row_number() OVER (PARTITION BY lid, mz ORDER BY l_orderkey, l_linenumber, intensity) = 1)"""
-
-
 @query(
     "msp_parse",
-    f"""
-    WITH {_RECORD_PEAKS}
-    SELECT p_partkey AS lid, p_name AS name, 'C' || (p_size + 10) || 'H' || (p_size * 2) AS formula, p_retailprice AS lib_mz,
-           '[M+H]+' AS adduct, 'P' AS esi_mode, count(*) AS n_peaks, round(sum(mz), 4) AS mz_sum, round(sum(intensity), 4) AS intensity_sum
-    FROM part JOIN firsts ON lid = p_partkey WHERE p_partkey % 10 <> 9 GROUP BY ALL
+    """
+    SELECT l_orderkey AS id, l_linenumber AS line, 'C' || (l_suppkey + 10) || 'H' || l_partkey AS formula,
+           l_extendedprice AS lib_mz, '[M+H]+' AS adduct, 'P' AS esi_mode,
+           unnest(CASE WHEN l_quantity >= 5 THEN [round(l_extendedprice - 5, 2), l_extendedprice] ELSE [round(l_extendedprice - 5, 2), l_extendedprice, 7.5] END) AS mz,
+           unnest(CASE WHEN l_quantity >= 5 THEN [l_quantity, l_quantity + 1] ELSE [l_quantity, l_quantity + 1, 0.5] END)::DOUBLE AS intensity
+    FROM lineitem WHERE l_partkey % 10 <> 9
     """,
 )
 def msp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes each library entry as a text record and parses it again.
+    """Writes each line item as a library text record and parses it again.
 
-    Every tenth record lacks its precursor line, so it must be dropped.
+    Every tenth part's record lacks its precursor line and must be dropped; the
+    records hold a repeated mass and a weak peak for the clean-up.
     """
-    line = F.concat(F.col("l_extendedprice").cast("string"), F.lit(" "), F.col("l_quantity").cast("string"))
-    order = F.struct("l_orderkey", "l_linenumber", "l_quantity", line.alias("line"))
-    peaks = d.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda p: p["line"]), "\n").alias("peaks")
-    )
-    size = F.col("p_size")
-    precursor = F.concat(F.lit("PrecursorMZ: "), F.col("p_retailprice").cast("string"), F.lit("\n"))
-    record = F.concat(
-        F.lit("Name: "), "p_name", F.lit("\nFormula: C"), (size + 10).cast("string"), F.lit("H"), (size * 2).cast("string"),
-        F.lit("\n"), F.when(F.col("p_partkey") % 10 != 9, precursor).otherwise(""),
-        F.lit("Precursor_type: [M+H]+\nIon_mode: Positive\nComments: lid="), F.col("p_partkey").cast("string"),
-        F.lit("\nNum Peaks: 1\n"), "peaks",
-    )
-    records = d.table(spark, sf_dir, "part").join(peaks, "p_partkey").select(record.alias("record"))
-    # the entry number travels in the name line, so that the result can be told apart
-    numbered = records.withColumn(
-        "record", F.regexp_replace("record", r"(?s)^Name: ([^\n]*)\n(.*lid=)(\d+)\n", "Name: $1#$3\n$2$3\n")
-    )
-    parsed = msp.parse_records(numbered).withColumns(
-        {"lid": F.substring_index("name", "#", -1).cast("bigint"), "name": F.substring_index("name", "#", 1)}
+    text = lambda c: c.cast("string")
+    price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
+    peak = lambda mz, intensity: F.concat_ws(" ", text(mz), text(intensity))
+    precursor = F.concat(F.lit("PrecursorMZ: "), text(price))
+    record = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Name: "), text(F.col("l_orderkey")), F.lit("#"), text(F.col("l_linenumber"))),
+        F.concat(F.lit("Formula: C"), text(F.col("l_suppkey") + 10), F.lit("H"), text(F.col("l_partkey"))),
+        F.when(F.col("l_partkey") % 10 != 9, precursor),
+        F.lit("Precursor_type: [M+H]+"),
+        F.lit("Ion_mode: Positive"),
+        F.lit("Num Peaks: 4"),
+        peak(price, quantity + 1),
+        peak(F.round(price - 5, 2), quantity),
+        peak(price, quantity * 2 - quantity),
+        peak(F.lit(7.5), F.lit(0.5)),
     )
-    cleaned = clean_library_peaks(msp.explode_peaks(parsed, "lid"), ["lid"], ["pos"], msp.LIBRARY_INTENSITY)
-    sums = cleaned.groupBy("lid").agg(
-        F.count(F.lit(1)).alias("n_peaks"), F.round(F.sum("mz"), 4).alias("mz_sum"),
-        F.round(F.sum("intensity"), 4).alias("intensity_sum"),
+    rows = d.table(spark, sf_dir, "lineitem").select(record.alias("record"))
+    # one line item is one record; its name and mass tell records apart
+    parsed = msp.parse_records(rows)
+    lines = parsed.withColumn("entry", F.struct("name", "lib_mz", "formula", "adduct", "esi_mode"))
+    peaks = msp.explode_peaks(lines, "entry")
+    cleaned = clean_library_peaks(peaks, ["entry"], ["pos"], msp.LIBRARY_INTENSITY)
+    return cleaned.select(
+        F.substring_index("entry.name", "#", 1).cast("bigint").alias("id"),
+        F.substring_index("entry.name", "#", -1).cast("int").alias("line"),
+        "entry.formula", "entry.lib_mz", "entry.adduct", "entry.esi_mode", "mz", "intensity",
     )
-    return parsed.drop("peak_lines").join(sums, "lid")
 
 
 @query(

@@ -51,27 +51,24 @@ def parse_records(records: DataFrame, labels: MspLabels = DEFAULT_LABELS) -> Dat
     line and at least one line after it.
     """
     lines = F.filter(F.split("record", "\r?\n"), lambda text: F.length(text) > 0)
-    split = records.select(lines.alias("_lines"))
+    # exploding one-element arrays keeps the completeness check above the parsing;
+    # pushed below it, the check would parse every field a second time
+    split = records.select(F.explode(F.array(lines)).alias("_lines"))
     counts = F.filter("_lines", lambda text: text.contains(labels.num_peaks))
-    at = F.array_position("_lines", F.get(counts, F.lit(0)))
-    parsed = split.withColumns(
-        {
-            "name": _field(F.col("_lines"), labels.name),
-            "formula": _field(F.col("_lines"), labels.formula),
-            "lib_mz": F.trim(_field(F.col("_lines"), labels.precursor_mz)).try_cast("double"),
-            # the adduct label carries no colon, so the value may start with one
-            "adduct": F.regexp_replace(_field(F.col("_lines"), labels.adduct), "^: ", ""),
-            "esi_mode": F.substring(_field(F.col("_lines"), labels.mode), 1, 1),
-            "_counts": F.size(counts),
-            "peak_lines": F.slice("_lines", at.cast("int") + 1, F.greatest(F.size("_lines"), F.lit(1))),
-        }
+    counted = split.select("_lines", F.explode(F.array(counts)).alias("_counts")).filter(F.size("_counts") == 1)
+    at = F.array_position("_lines", F.get("_counts", F.lit(0))).cast("int")
+    # the adduct label carries no colon, so the value may start with one
+    adduct = F.regexp_replace(_field(F.col("_lines"), labels.adduct), "^: ", "")
+    fields = F.struct(
+        _field(F.col("_lines"), labels.name).alias("name"),
+        _field(F.col("_lines"), labels.formula).alias("formula"),
+        F.trim(_field(F.col("_lines"), labels.precursor_mz)).try_cast("double").alias("lib_mz"),
+        adduct.alias("adduct"),
+        F.substring(_field(F.col("_lines"), labels.mode), 1, 1).alias("esi_mode"),
+        F.slice("_lines", at + 1, F.greatest(F.size("_lines"), F.lit(1))).alias("peak_lines"),
     )
-    complete = (
-        (F.col("_counts") == 1) & (F.size("peak_lines") > 0) & F.col("lib_mz").isNotNull()
-        & F.col("name").isNotNull() & F.col("formula").isNotNull()
-        & F.col("adduct").isNotNull() & F.col("esi_mode").isNotNull()
-    )
-    return parsed.filter(complete).select("name", "formula", "lib_mz", "adduct", "esi_mode", "peak_lines")
+    required = ["name", "formula", "lib_mz", "adduct", "esi_mode"]
+    return counted.select(F.inline(F.array(fields))).dropna(subset=required).filter(F.size("peak_lines") > 0)
 
 
 def explode_peaks(records: DataFrame, key: str) -> DataFrame:

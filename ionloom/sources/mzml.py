@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: accessions of the controlled vocabulary
 MS_LEVEL, SCAN_START, SELECTED_ION = "MS:1000511", "MS:1000016", "MS:1000744"
@@ -49,7 +50,12 @@ def _decode(record: str) -> list[dict]:
     return [{"mz": m, "intensity": i} for m, i in zip(mz, intensity)]
 
 
-@F.pandas_udf("array<struct<mz:double,intensity:double>>")
+PEAKS_TYPE = T.ArrayType(
+    T.StructType([T.StructField("mz", T.DoubleType()), T.StructField("intensity", T.DoubleType())])
+)
+
+
+@F.pandas_udf(PEAKS_TYPE)
 def _peaks(records: pd.Series) -> pd.Series:
     return records.map(_decode)
 
