@@ -177,7 +177,9 @@ def _brand_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     sales = _brand_sales(spark, sf_dir)
     numbers = network.number_features(sales)
     n_samples = sales.select("sample").distinct().count()
-    return sales, numbers, network.correlations(sales, numbers, n_samples), n_samples
+    # features by features, read by every later step
+    pairs = network.correlations(sales, numbers, n_samples).checkpoint()
+    return sales, numbers, pairs, n_samples
 
 
 def _named(pairs: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -267,9 +269,9 @@ def hierarchical_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def module_eigengenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales, numbers, pairs, n = _brand_pairs(spark, sf_dir)
     overlap = network.topological_overlap(network.adjacency(pairs, 1))
-    found = modules.detect_modules(numbers, overlap, cut_height=0.55, min_size=2)
+    found = modules.detect_modules(numbers, overlap, cut_height=0.55, min_size=2).checkpoint()
     scores = modules.eigengenes(sales, numbers, found, pairs, n)
-    merged = modules.merge_modules(found, scores, n)
+    merged = modules.merge_modules(found, scores.checkpoint(), n)
     final = modules.eigengenes(sales, numbers, merged, pairs, n)
     return final.select("module", "sample", F.round("score", 6).alias("score"))
 
