@@ -234,11 +234,11 @@ def topological_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "edge_threshold",
-    _TOM_SQL + " SELECT f1, f2, round(tom, 6) AS tom FROM tom WHERE tom > 0.2",
+    _TOM_SQL.replace("(1 + r) / 2, 4", "(1 + r) / 2, 2") + " SELECT f1, f2, round(tom, 6) AS tom FROM tom WHERE tom > 0.2",
 )
 def edge_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, numbers, pairs, _ = _brand_pairs(spark, sf_dir)
-    overlap = network.edges(network.topological_overlap(network.adjacency(pairs, 4)), "tom")
+    overlap = network.edges(network.topological_overlap(network.adjacency(pairs, 2)), "tom")
     return _named(overlap, numbers).select("f1", "f2", F.round("tom", 6).alias("tom"))
 
 
@@ -312,3 +312,44 @@ def boosted_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     # fewer rounds than the cohort script uses, which sets the default
     model = classify.boosted_trees(rows, names, rounds=10, step=0.1)
     return cohort.confusion(classify.classify(rows, model, names), "label", "predicted")
+
+
+@query(
+    "trait_correlations",
+    """
+    WITH sales AS (
+      SELECT o_custkey AS sample, p_brand AS module, sum(l_quantity) AS score
+      FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)
+    SELECT module, 'balance' AS trait, round(corr(score, c_acctbal), 6) AS r, count(*) AS n
+    FROM sales JOIN customer ON c_custkey = sample GROUP BY module
+    """,
+)
+def trait_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = _brand_sales(spark, sf_dir).select("sample", F.col("feature").alias("module"), F.col("value").alias("score"))
+    traits = d.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("sample"), F.lit("balance").alias("trait"), F.col("c_acctbal").alias("value")
+    )
+    return modules.trait_correlations(scores, traits).withColumn("r", F.round("r", 6))
+
+
+@query("random_feature_subset")
+def random_feature_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, numbers, pairs, _ = _brand_pairs(spark, sf_dir)
+    subset = modules.random_features(numbers, size=10)
+    return modules.subset_pairs(pairs, subset).select("i", "j", F.round("r", 6).alias("r"))
+
+
+@query(
+    "good_samples",
+    """
+    WITH sales AS (
+      SELECT l_suppkey AS sample, l_linenumber::VARCHAR AS feature, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)
+    SELECT DISTINCT sample FROM sales
+    """,
+)
+def good_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checkpoint_dir(spark)
+    rows = d.table(spark, sf_dir, "lineitem").groupBy(
+        F.col("l_suppkey").alias("sample"), F.col("l_linenumber").cast("string").alias("feature")
+    ).agg(F.sum("l_quantity").alias("value"))
+    return cohort.good_features_and_samples(rows.checkpoint())[1]

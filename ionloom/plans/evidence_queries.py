@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom.operators import clusters, evidence, fusion, groupstat, ordered, polyfit
+from ionloom.plans import annotate
 from ionloom.plans import sqlviews as v
 from ionloom.plans.registry import query
 from ionloom.plans.spectral_queries import MATCH_SQL, scored_pairs
@@ -374,6 +375,23 @@ def fuse_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_fused(spark, sf_dir).select("x", "file", "title", "final_score"), final_score=6)
 
 
+@query(
+    "final_output",
+    _RULES + """,
+    scored AS (SELECT *, score_match + score_ratio + t1 + t2 AS f FROM stand),
+    best AS (SELECT * FROM scored QUALIFY rank() OVER (PARTITION BY file, title ORDER BY f DESC) = 1),
+    ranked AS (SELECT *, rank() OVER (PARTITION BY file, peak_num ORDER BY f DESC) AS r FROM best),
+    tiers AS (SELECT file, title, min(r) AS k FROM ranked WHERE r <= 3 GROUP BY 1, 2)
+    SELECT file, peak_num, title, adduct, round(f, 6) AS final_score,
+           CASE k WHEN 1 THEN 'Top 1' WHEN 2 THEN 'Top 2' WHEN 3 THEN 'Top 3' ELSE 'Top > 3' END AS top_n
+    FROM ranked LEFT JOIN tiers USING (file, title)
+    """,
+)
+def final_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = annotate.final_output(_fused(spark, sf_dir))
+    return _rounded(rows.select("file", "peak_num", "title", "adduct", "final_score", "top_n"), final_score=6)
+
+
 @query(
     "fuse_without_rules",
     f"WITH {v.ANNOTATIONS} SELECT x, round(score_match + score_ratio + 1.0, 6) AS final_score FROM annotations",

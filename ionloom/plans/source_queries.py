@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ionloom.operators import fingerprint
 from ionloom.operators.spectra import clean_library_peaks
 from ionloom.plans.registry import query
-from ionloom.sources import derived as d, msp
+from ionloom.sources import derived as d, fingerprints, msp
 
 @query(
     "msp_parse",
@@ -88,3 +88,27 @@ def overwrite_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = cells.select("stem", (F.col("pos") * 1.5).cast("double").alias("mz"), F.lit(0.0).alias("value"))
     placed = fingerprint.overwrite_by_position(targets, fingerprint.clip_negative(predictions, "value", "value"))
     return placed.withColumn("value", F.round("value", 6))
+
+
+def _stems(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers play input files, customers with urgent orders have target and weight files."""
+    text = lambda c, suffix: F.concat(F.lit("c"), c.cast("string"), F.lit(suffix)).alias("stem")
+    people = d.table(spark, sf_dir, "customer").select(text(F.col("c_custkey"), ""))
+    urgent = d.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey").distinct()
+    return people.unionByName(urgent.select(text(F.col("o_custkey"), "_GT"))), urgent.select(text(F.col("o_custkey"), "_weights"))
+
+
+@query(
+    "paired_stems",
+    "SELECT 'c' || c_custkey AS stem FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+)
+def paired_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.paired_stems(_stems(spark, sf_dir)[0])
+
+
+@query(
+    "stems_without_weights",
+    "SELECT 'c' || c_custkey AS stem FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+)
+def stems_without_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.split_by_weights(*_stems(spark, sf_dir))[1]

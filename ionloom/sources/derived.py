@@ -53,6 +53,19 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def titled_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Library with packed titles: parts a thousand apart are levels of one lipid."""
+    key = F.col("p_partkey")
+    k = key % 1000
+    level = F.floor(key / 1000).cast("bigint") % 4 + 1
+    title = F.concat(
+        F.lit("LEVEL"), _text(level), F.lit("_DES_PC "), _text(k % 20 + 14), F.lit(":"), _text(k % 3),
+        F.lit("_16:0-Fomula-C"), _text(k % 20 + 38), F.lit("H"), _text(k % 9 + 70), F.lit("NO8P-CCS-0-Add-"),
+        F.when(k % 2 == 0, "[M+H]+").otherwise("[M-H]-"),
+    )
+    return table(spark, sf_dir, "part").select(key.alias("lid"), F.col("p_retailprice").alias("lib_mz"), title.alias("title"))
+
+
 def _text(value: Column) -> Column:
     return value.cast("string")
 
