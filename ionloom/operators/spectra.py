@@ -59,6 +59,26 @@ def number_spectra(headers: DataFrame, file: str, order: list[str], out: str = "
     )
 
 
+def build_spectra(rows: DataFrame, first_seen: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Spectra and peaks of scan rows: file, rt, precursor_mz, row_id, mz, intensity.
+
+    All rows of a file with equal time and precursor form one spectrum.
+    ``sid`` numbers all spectra, ``num`` those of a file, either by time and
+    precursor or by first appearance.
+    """
+    keys = ["file", "rt", "precursor_mz"]
+    headers = spectrum_headers(rows, keys, "row_id")
+    order = ["first_row", "rt", "precursor_mz"] if first_seen else ["rt", "precursor_mz"]
+    numbered = global_ordinal(headers, ["file", *order], "sid")
+    spectra = attach(numbered, ["file"], _start=F.min("sid")).select(
+        "sid", *keys, (F.col("sid") - F.col("_start") + 1).alias("num")
+    )
+    peaks = rows.join(numbered.select("sid", *keys), keys).select(
+        "sid", F.col("row_id").alias("scan_no"), "mz", "intensity"
+    )
+    return spectra, peaks
+
+
 def nest_peaks(peaks: DataFrame, keys: list[str], order: list[str], mz: str = "mz", intensity: str = "intensity") -> DataFrame:
     """One record per spectrum with its peaks as an array, in scan order.
 

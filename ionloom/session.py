@@ -31,6 +31,8 @@ def get_session(app: str = "ionloom", master: str | None = None, **conf: str) ->
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    # checkpoints of dropped results are removed again
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return tune(builder.getOrCreate())

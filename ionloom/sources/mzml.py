@@ -77,8 +77,14 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
     return scans.filter("_level = '2'").withColumn("ms2", _peaks("_record")).drop("_record", "_level")
 
 
+# more peaks than one scan can hold, so that row numbers of scans do not overlap
+ROWS_PER_SCAN = 10_000_000
+
+
 def explode_scans(scans: DataFrame) -> DataFrame:
-    """Peak rows of the scans, numbered in scan order."""
-    return scans.select(
-        "file", "rt", "precursor_mz", "scan", F.posexplode("ms2").alias("pos", "_p")
-    ).select("file", "rt", "precursor_mz", "scan", "pos", F.col("_p.mz").alias("mz"), F.col("_p.intensity").alias("intensity"))
+    """Peak rows of the scans, with a row number in file order."""
+    rows = scans.select("file", "rt", "precursor_mz", "scan", F.posexplode("ms2").alias("pos", "_p"))
+    return rows.select(
+        "file", "rt", "precursor_mz", (F.col("scan") * ROWS_PER_SCAN + F.col("pos")).alias("row_id"),
+        F.col("_p.mz").alias("mz"), F.col("_p.intensity").alias("intensity"),
+    )

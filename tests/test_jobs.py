@@ -51,3 +51,5 @@ def test_flat_job(spark, inputs):
     negative = library.withColumn("title", F.replace("title", F.lit("[M+H]+"), F.lit("[M+HCOO]-")))
     assert annotate.flat_matches(spectra, peaks, negative, fragments, "n1", 5, 30).count() == 24
     assert annotate.flat_matches(spectra, peaks, negative, fragments, "n2", 5, 30).count() == 0
+    assert annotate.flat_matches(spectra, peaks, negative, fragments, "n2", 5, 30, by_title=True).count() == 0
+    assert annotate.flat_matches(spectra, peaks, negative, fragments, "p", 5, 30, min_coverage=0.9, by_title=True).count() == 12

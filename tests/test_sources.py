@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionloom.operators import fingerprint
+from ionloom.operators.spectra import build_spectra
 from ionloom.sources import files, fingerprints, msp, mzml
 from ionloom.streaming.arrivals import annotate_arrivals
 
@@ -54,7 +55,9 @@ def test_mzml(spark, tmp_path):
     scans = mzml.read_mzml(spark, str(tmp_path)).orderBy("scan").collect()
     assert [(r.file, r.scan, r.rt, r.precursor_mz) for r in scans] == [("run_a", 1, 1.5, 500.25), ("run_a", 2, 2.5, 600.5), ("run_a", 3, 3.0, 1.5)]
     assert [[(p.mz, p.intensity) for p in r.ms2] for r in scans] == [[(100.5, 9.0), (200.0, 3.0)], [(50.0, 2.0)], []]
-    assert mzml.explode_scans(mzml.read_mzml(spark, str(tmp_path))).count() == 3
+    spectra, peaks = build_spectra(mzml.explode_scans(mzml.read_mzml(spark, str(tmp_path))))
+    assert [(r.sid, r.num, r.rt) for r in spectra.orderBy("sid").collect()] == [(1, 1, 1.5), (2, 2, 2.5)]
+    assert sorted((r.sid, r.mz) for r in peaks.collect()) == [(1, 100.5), (1, 200.0), (2, 50.0)]
 
 
 def test_csv_and_listing(spark, tmp_path):
