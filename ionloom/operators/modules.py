@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ionloom.operators.groupstat import attach
 from ionloom.operators.linkage import average_linkage, cut_tree
-from ionloom.operators.network import both_directions, correlations, number_features
+from ionloom.operators.network import correlations, number_features
 
 # fixed values of the network script; features outside all modules get NO_MODULE
 MIN_MODULE_SIZE = 20
@@ -73,11 +74,8 @@ def merge_modules(modules: DataFrame, scores: DataFrame, n_samples: int, height:
     distances = correlations(long, numbers, n_samples).select("i", "j", (F.lit(1.0) - F.col("r")).alias("d"))
     items = numbers.select(F.col("feature_no").alias("item"))
     parts = cut_tree(items, average_linkage(items, distances), height)
-    named = (
-        parts.join(numbers.withColumnRenamed("feature", "module"), F.col("item") == F.col("feature_no"))
-        .groupBy("cluster").agg(F.min("module").alias("_merged"), F.collect_set("module").alias("_members"))
-    )
-    merged = named.select("_merged", F.explode("_members").alias("module"))
+    named = parts.join(numbers.withColumnRenamed("feature", "module"), F.col("item") == F.col("feature_no"))
+    merged = attach(named.select("cluster", "module"), ["cluster"], _merged=F.min("module")).select("module", "_merged")
     return modules.join(merged, "module", "left").select(
         "feature_no", F.coalesce("_merged", "module").alias("module")
     )
@@ -106,8 +104,3 @@ def subset_pairs(pairs: DataFrame, subset: DataFrame) -> DataFrame:
     return pairs.join(ids, pairs["i"] == ids["feature_no"], "left_semi").join(
         ids, pairs["j"] == ids["feature_no"], "left_semi"
     )
-
-
-__all__ = [
-    "both_directions", "detect_modules", "eigengenes", "merge_modules", "random_features", "subset_pairs", "trait_correlations",
-]

@@ -2,16 +2,19 @@
 
 Spectra are kept as two tables: one header row per spectrum and one row per
 peak. Nothing here gathers the peaks of a spectrum in one place except
-``nest_peaks``, which produces the nested record itself.
+``nest_peaks``, which produces nested records of bounded size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.operators.groupstat import attach
-from ionloom.operators.ordered import global_ordinal
+from ionloom.operators.ordered import global_ordinal, running_total
+
+# largest array of one nested spectrum record
+PEAKS_PER_RECORD = 65_536
 
 
 def relative_intensity_filter(
@@ -79,15 +82,17 @@ def build_spectra(rows: DataFrame, first_seen: bool = False) -> tuple[DataFrame,
     return spectra, peaks
 
 
-def nest_peaks(peaks: DataFrame, keys: list[str], order: list[str], mz: str = "mz", intensity: str = "intensity") -> DataFrame:
-    """One record per spectrum with its peaks as an array, in scan order.
+def nest_peaks(
+    peaks: DataFrame, keys: list[str], order: list[str], segment: Column, mz: str = "mz", intensity: str = "intensity"
+) -> DataFrame:
+    """Records with the peaks of a spectrum as an array in ``order``.
 
-    Copies of a peak are the only part of a spectrum that can grow without
-    limit, so equal rows travel once with a count and are repeated at the end.
+    A record holds up to ``PEAKS_PER_RECORD`` peaks; a larger spectrum goes on
+    in records of ``part`` 1, 2, ..., so no array grows with the data.
+    ``segment`` must grow with ``order``; it cuts the counting of positions.
     """
-    copies = peaks.groupBy(*keys, *[c for c in order if c not in (mz, intensity)], mz, intensity).agg(
-        F.count(F.lit(1)).cast("int").alias("_n")
-    )
-    ordered = F.sort_array(F.collect_list(F.struct(*order, F.col(mz).alias("_mz"), F.col(intensity).alias("_int"), "_n")))
-    peak = lambda p: F.array_repeat(F.struct(p["_mz"].alias("mz"), p["_int"].alias("intensity")), p["_n"])
-    return copies.groupBy(*keys).agg(F.flatten(F.transform(ordered, peak)).alias("ms2"))
+    placed = running_total(peaks.withColumn("_one", F.lit(1)), keys, order, "_one", segment, "_at")
+    parted = placed.withColumn("part", F.floor((F.col("_at") - 1) / PEAKS_PER_RECORD).cast("int"))
+    listed = F.sort_array(F.collect_list(F.struct("_at", F.col(mz).alias("_mz"), F.col(intensity).alias("_int"))))
+    peak = lambda p: F.struct(p["_mz"].alias("mz"), p["_int"].alias("intensity"))
+    return parted.groupBy(*keys, "part").agg(F.transform(listed, peak).alias("ms2"))
