@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +57,17 @@ def test_flat_job(spark, inputs):
     assert annotate.flat_matches(spectra, peaks, negative, fragments, "n2", 5, 30).count() == 0
     assert annotate.flat_matches(spectra, peaks, negative, fragments, "n2", 5, 30, by_title=True).count() == 0
     assert annotate.flat_matches(spectra, peaks, negative, fragments, "p", 5, 30, min_coverage=0.9, by_title=True).count() == 12
+
+
+def test_workers_need_no_installed_package(tmp_path):
+    code = (
+        f"import sys; sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "from ionloom import tune\n"
+        "from ionloom.operators import network\n"
+        "spark = tune(SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate())\n"
+        "long = spark.createDataFrame([(1, 'a', 2.0), (1, 'b', 3.0)], 'sample long, feature string, value double')\n"
+        "print(network.pair_sums(long, network.number_features(long), 'product').count())\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split()[-1:] == ["3"], done.stderr[-2000:]

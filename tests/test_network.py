@@ -46,9 +46,23 @@ def test_pair_sums(spark, matrix):
     whole = dense(network.pair_sums(long, numbers, "product"), "s")
     gaps = dense(network.pair_sums(long, numbers, "difference"), "s")
     assert whole == pytest.approx(data.T @ data)
+    # samples that are cut by the end of an Arrow batch
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert dense(network.pair_sums(long, numbers, "product"), "s") == pytest.approx(data.T @ data)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert gaps == pytest.approx(np.abs(data[:, :, None] - data[:, None, :]).sum(0))
 
 
+def test_many_blocks(spark):
+    data = np.random.default_rng(6).integers(0, 5, (30, 600)).astype(float)
+    rows = [(i, f"f{j:03d}", float(data[i, j])) for i in range(30) for j in range(600)]
+    long = spark.createDataFrame(rows, "sample long, feature string, value double")
+    pairs = network.pair_sums(long, network.number_features(long), "product")
+    assert dense(pairs, "s", 600) == pytest.approx(data.T @ data)
+
+
 def brute_linkage(d):
     groups, heights = [[i] for i in range(len(d))], []
     while len(groups) > 1:
