@@ -71,6 +71,11 @@ def blocks_of(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def _fingerprint(frame: DataFrame) -> tuple:
+    """Count and hash sum of a table without repeated rows."""
+    return tuple(frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, low: str = "a", high: str = "b", name: str = "components") -> DataFrame:
     """Connected components of an edge list as ``(node, root)``; ``root`` is the smallest node reached.
 
@@ -78,12 +83,13 @@ def components(edges: DataFrame, low: str = "a", high: str = "b", name: str = "c
     size. Each step is one aggregation by node; an edge table is kept between rounds, never a component.
     Loops and repeated edges do no harm; an empty table gives an empty table.
     """
-    spark = edges.sparkSession
     current = staged(
         edges.select(F.greatest(low, high).alias("node"), F.least(low, high).alias("root")).where("node > root").distinct(), name
     )
+    before = _fingerprint(current)
+    small = current
     while True:
-        both = current.unionByName(current.select(F.col("root").alias("node"), F.col("node").alias("root")))
+        both = small.unionByName(small.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("m")).select("node", F.least("node", "m").alias("m"))
         # large star: every larger neighbour of a node moves to the node's smallest neighbour
         large = (
@@ -104,11 +110,10 @@ def components(edges: DataFrame, low: str = "a", high: str = "b", name: str = "c
             .distinct()
         )
         small = staged(small, name)
-        moved = small.exceptAll(current).limit(1).count() + (small.count() != current.count())
-        current = small
-        if not moved:
-            break
-    return current
+        now = _fingerprint(small)
+        if now == before:
+            return small
+        before = now
 
 
 def extended(schema: StructType, extra: str) -> StructType:

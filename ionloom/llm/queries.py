@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import langid, linededup
+from ionloom.llm import langid, linededup, minhash
 from ionloom.session import tune
 
 QUERIES: dict = {}
@@ -59,3 +59,8 @@ def op8_language_id(spark, sf_dir):
     model = langid.fit(documents.where(~held_out()))
     found = langid.identify(documents.select("doc_id", "text"), model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op4_minhash_near_dedup")
+def op4_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=4)
