@@ -155,19 +155,25 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 4, r
 
 def pieces_for_training(documents: DataFrame, rows: int, width: int, text: str, label: str, order: Column) -> DataFrame:
     """A bounded sample: ``rows`` pieces of ``width`` characters, from anywhere in the labelled texts, by hash."""
+    known = documents.select(F.col(label).alias("lang"), order.alias("o"), F.col(text).alias("t")).where("lang is not null")
+    have = known.select("lang").count()
+    span = 1 << 31
+    limit = span if have <= 4 * rows else span * 4 * rows // have
     count = F.ceil(F.char_length("t") / F.lit(width)).cast("long")
     return (
-        documents.select(F.col(text).alias("t"), F.col(label).alias("lang"), order.alias("o"))
-        .where("t is not null and lang is not null and t rlike '\\\\p{L}'")
+        known.where((F.pmod(F.xxhash64("o", "t"), F.lit(span)) < limit) & F.col("t").rlike("\\p{L}"))
         .withColumn("at", F.pmod(F.xxhash64("o", F.lit(1)), count))
-        .select(F.expr(f"substring(t, int(at * {width} + 1), {width})").alias("piece"), "lang", F.xxhash64("o", F.lit(2)).alias("o"))
+        .select(F.expr(f"substring(t, int(at * {width} + 1), {width})").alias("piece"), "lang", F.xxhash64("o", "t").alias("o"))
         .orderBy("o", "piece", "lang")
         .limit(rows)
     )
 
 
 def fit(documents: DataFrame, text: str = "text", label: str = "lang", order: str = "doc_id", rows: int = 4000, width: int = 512, miss: float = 0.001) -> Model | None:
-    """Train on at most ``rows`` pieces of ``width`` characters (at most 2 million characters by default)."""
+    """Train on at most ``rows`` pieces of ``width`` characters (at most 2 million characters by default).
+
+    Tasks pass on only texts whose hash lies below a bound set by the row count, about four times ``rows`` in all.
+    """
     sample = pieces_for_training(documents, rows, width, text, label, F.coalesce(F.col(order).cast("string"), F.lit("")))
     found = [(r["piece"], r["lang"]) for r in sample.select("piece", "lang").collect()]
     return train([p for p, _ in found], [x for _, x in found], miss=miss)
