@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import decontaminate, langid, linededup, minhash
+from ionloom.llm import decontaminate, langid, linededup, minhash, packing
 from ionloom.session import tune
 
 QUERIES: dict = {}
@@ -97,3 +97,15 @@ def op7_benchmark_decontamination(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing query, read where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
