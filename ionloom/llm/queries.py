@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import decontaminate, langid, linededup, minhash, packing
+from ionloom.llm import decontaminate, langid, linededup, minhash, packing, secrets, warc
+from ionloom.llm.common import shared_folder
 from ionloom.session import tune
 
 QUERIES: dict = {}
@@ -109,3 +110,66 @@ def tokenizer_path() -> str:
 @query("op5_best_fit_packing")
 def op5_best_fit_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query(
+    "op1_secret_scan",
+    r"""
+    WITH t AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
+
+    raw AS (
+        SELECT doc_id, owner, 0 AS rank, 'assign' AS kind, 0 AS whole, 12 AS least, regexp_split_to_array(text, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS g,
+            regexp_extract_all(text, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS m,
+            regexp_extract_all(text, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS v FROM t
+        UNION ALL SELECT doc_id, owner, 1, 'access', 18, 0, regexp_split_to_array(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+') FROM t
+        UNION ALL SELECT doc_id, owner, 2, 'hex', 16, 0, regexp_split_to_array(text, '[0-9a-f]{16,}'), regexp_extract_all(text, '[0-9a-f]{16,}'), regexp_extract_all(text, '[0-9a-f]{16,}') FROM t
+        UNION ALL SELECT doc_id, owner, 3, 'owned', 20, 0, regexp_split_to_array(text, '[A-Za-z0-9+/_-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9+/_-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9+/_-]{20,}') FROM t),
+    each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw WHERE len(m) > 0),
+    span AS (SELECT doc_id, owner, rank, kind, v[i] AS value, length(m[i]) AS size,
+            CAST(list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS BIGINT) AS start
+        FROM each WHERE length(m[i]) >= whole AND length(v[i]) >= least
+            AND (rank < 3 OR (regexp_matches(v[i], '[A-Z]') AND regexp_matches(v[i], '[a-z]') AND regexp_matches(v[i], '[0-9]')))),
+    own AS (SELECT value, count(DISTINCT owner) AS n_owners FROM span GROUP BY value),
+    known AS (SELECT *, n_owners <= 1 AS live, kind || ':' || start || ':' || (start + size) AS w FROM span JOIN own USING (value) WHERE rank < 3 OR n_owners <= 1),
+    per_doc AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+            count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied,
+            string_agg(w, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(w, ',' ORDER BY start, rank) AS spans FROM known GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+    FROM t LEFT JOIN per_doc USING (doc_id)
+    """,
+)
+def op1_secret_scan(spark, sf_dir):
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+    def number(test):
+        return F.size(F.filter("spans", test)).cast("long")
+
+    def of(kind):
+        return lambda s: s["kind"] == kind
+
+    return found.select(
+        "doc_id",
+        *(number(of(kind)).alias(f"n_{kind}") for kind in secrets.BASE),
+        F.sha2(secrets.written(F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+        number(lambda s: s["live"]).alias("n_live"),
+        number(lambda s: ~s["live"]).alias("n_copied"),
+    )
+
+
+@query(
+    "op6_warc_revisits",
+    """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    first AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN first <> page_id THEN first END AS refers_to
+    FROM p LEFT JOIN first USING (payload_digest)
+    """,
+)
+def op6_warc_revisits(spark, sf_dir):
+    folder = shared_folder(spark, "warc")
+    warc.write_archives(read(spark, sf_dir, "pages"), folder)
+    found = warc.resolved_records(warc.read_archives(spark, folder))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
