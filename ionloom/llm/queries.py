@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import decontaminate, langid, linededup, minhash, packing, secrets, warc
+from ionloom.llm import decontaminate, langid, linededup, minhash, packing, secrets, vectors, warc
 from ionloom.llm.common import shared_folder
 from ionloom.session import tune
 
@@ -173,3 +173,8 @@ def op6_warc_revisits(spark, sf_dir):
     warc.write_archives(read(spark, sf_dir, "pages"), folder)
     found = warc.resolved_records(warc.read_archives(spark, folder))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_embedding_near_dedup")
+def op9_embedding_near_dedup(spark, sf_dir):
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
