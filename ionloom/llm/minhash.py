@@ -2,7 +2,8 @@
 
 Every text is sketched once: 256 minima of its shingle hashes. Bands of four minima give candidates; the two low
 bits of each minimum, packed into eight longs, give a similarity estimate from bit counts, corrected for chance
-collisions. Estimates far below the threshold drop a candidate; every link is confirmed on full shingle sets.
+collisions. Estimates far below the threshold drop a candidate, and so does a bound that can't err: cells of hashes with unlike
+parities count no more than the sets' difference. Every link is confirmed on full shingle sets.
 
 Texts with equal sets form a class first. In a band's bucket every class is compared with one class of the
 bucket, not with all; only buckets that still hold several components go on, at last with all pairs across
@@ -29,8 +30,9 @@ from ionloom.llm.wordhash import hash_words, mix, shingles, white_space
 
 HASHES, ROWS, BANDS, BITS = 256, 4, 32, 2
 LANES = 64 // BITS
+CELLS = 1024
 MARGIN = 0.165  # five and a half standard errors of the estimate at a similarity of 0.8
-RANDOM_ROUNDS = 2
+RANDOM_ROUNDS = 1
 
 _factors = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
@@ -58,6 +60,12 @@ def packed(least: np.ndarray) -> np.ndarray:
     return (low << (np.arange(LANES, dtype=np.uint64) * np.uint64(BITS))).sum(1, dtype=np.uint64).view(np.int64)
 
 
+def parity(shingle: np.ndarray) -> np.ndarray:
+    """For each of 1024 cells of hashes whether it holds an odd number of shingles, as bits of sixteen longs."""
+    odd = np.bincount((shingle >> np.uint64(20)).astype(np.int64) & (CELLS - 1), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def set_digest(shingle: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set."""
     one = mix(shingle).sum(dtype=np.uint64)
@@ -66,7 +74,7 @@ def set_digest(shingle: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(documents: DataFrame, words: int) -> DataFrame:
-    """One row per text: doc_id, set size, set digest, bands and packed low bits (none for an empty set)."""
+    """One row per text: doc_id, set size, set digest, bands, and low bits with parities (none for an empty set)."""
     narrow_batches(documents.sparkSession)
     apart = white_space()
 
@@ -78,7 +86,7 @@ def sketch(documents: DataFrame, words: int) -> DataFrame:
                 found = shingles(hashes[bounds[k] : bounds[k + 1]], words)
                 if len(found):
                     least = minima(found)
-                    rows.append((len(found), *set_digest(found), bands_of(least), packed(least)))
+                    rows.append((len(found), *set_digest(found), bands_of(least), np.concatenate([packed(least), parity(found)])))
                 else:
                     rows.append((0, None, None, None, None))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -122,10 +130,17 @@ def estimate(left: str, right: str) -> Column:
     return ((1 - wrong / F.lit(float(HASHES))) - chance) / (1 - chance)
 
 
-def likely(similarity: float) -> Column:
-    """Pairs whose sizes allow the similarity and whose estimate doesn't rule it out."""
+def least_difference(left: str, right: str) -> Column:
+    """A lower bound of the sets' symmetric difference: cells whose parities differ."""
+    first = HASHES // LANES
+    return reduce(lambda a, b: a + b, (F.bit_count(F.col(left)[k].bitwiseXOR(F.col(right)[k])) for k in range(first, first + CELLS // 64)))
+
+
+def likely(percent: int) -> Column:
+    """Pairs whose sizes and differences allow the similarity and whose estimate doesn't rule it out."""
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return (least >= F.floor(most * similarity)) & (estimate("bits_a", "bits_b") >= similarity - MARGIN)
+    apart = least_difference("bits_a", "bits_b") * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return (least * 100 >= most * percent) & apart & (estimate("bits_a", "bits_b") >= percent / 100 - MARGIN)
 
 
 def with_sketch(pairs: DataFrame, classes: DataFrame, sides: str = "ab") -> DataFrame:
@@ -149,7 +164,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reached) and kept."""
-    similarity = percent / 100
     rows = staged(sketch(documents, words).withColumn("row", F.monotonically_increasing_id()), "sketch")
     nodes = rows.where("d1 is not null and doc_id is not null")
     classes = staged(
@@ -167,7 +181,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
 
     # every class against the first class of its buckets
     pairs = members.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
-    links = staged(confirmed(with_sketch(pairs, classes).where(likely(similarity)), sets, percent), "links")
+    links = staged(confirmed(with_sketch(pairs, classes).where(likely(percent)), sets, percent), "links")
     roots = components(links)
     for turn in range(RANDOM_ROUNDS + 1):
         # buckets that still hold more than one component
@@ -181,11 +195,11 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
         )
         if turn < RANDOM_ROUNDS:
             pairs = placed.join(split, "key").where("root <> root_a").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
-            pairs = with_sketch(pairs, classes).where(likely(similarity))
+            pairs = with_sketch(pairs, classes).where(likely(percent))
         else:
             still = with_sketch(placed.join(split.select("key"), "key").withColumnRenamed("c", "a"), classes, "a")
             other = still.select("key", *(F.col(x).alias(y) for x, y in (("a", "b"), ("n_a", "n_b"), ("bits_a", "bits_b"), ("root", "root_b"))))
-            pairs = still.join(other, "key").where((F.col("root") < F.col("root_b")) & likely(similarity)).select("a", "b").distinct()
+            pairs = still.join(other, "key").where((F.col("root") < F.col("root_b")) & likely(percent)).select("a", "b").distinct()
         more = staged(confirmed(pairs, sets, percent), "links")
         if more.isEmpty():
             continue
