@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import decontaminate, langid, linededup, minhash, packing, secrets, vectors, warc
+from ionloom.llm import decontaminate, langid, linededup, minhash, packing, secrets, toxicity, vectors, warc
 from ionloom.llm.common import shared_folder
 from ionloom.session import tune
 
@@ -178,3 +178,11 @@ def op6_warc_revisits(spark, sf_dir):
 @query("op9_embedding_near_dedup")
 def op9_embedding_near_dedup(spark, sf_dir):
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
+    found = toxicity.score(documents, toxicity.fit(documents.join(labels, "doc_id")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", toxicity.decided().alias("predicted"))
