@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import decontaminate, langid, linededup, minhash, packing, secrets, toxicity, vectors, warc
+from ionloom.llm import decontaminate, langid, linededup, minhash, packing, secrets, surrogates, toxicity, vectors, warc
 from ionloom.llm.common import shared_folder
 from ionloom.session import tune
 
@@ -186,3 +186,14 @@ def op2_toxicity(spark, sf_dir):
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
     found = toxicity.score(documents, toxicity.fit(documents.join(labels, "doc_id")))
     return found.select("doc_id", held_out().alias("held_out"), "score", toxicity.decided().alias("predicted"))
+
+
+# The key of the test tables' stand-ins. A user passes a secret of their own.
+SURROGATE_KEY = b"test tables"
+
+
+@query("op10_pii_surrogates")
+def op10_pii_surrogates(spark, sf_dir):
+    found = surrogates.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    counts = (F.coalesce(F.col("entities")[kind], F.lit(0).cast("long")).alias(f"n_{kind}") for kind in surrogates.KINDS)
+    return found.select("doc_id", "text", *counts)
