@@ -1,40 +1,65 @@
-"""Corpus pipeline: each stage takes the documents its predecessor kept."""
+"""Corpus pipeline: from raw documents to packed training sequences, each stage on what its predecessor kept.
+
+Rows without a ``doc_id``, null texts and repeated rows pass through the stages as the operators' docstrings say.
+An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import langid, linededup
+from ionloom.llm import decontaminate, langid, linededup, minhash, packing
 from ionloom.llm.common import staged
-from ionloom.llm.queries import held_out
+from ionloom.llm.queries import held_out, tokenizer_path
 from ionloom.session import tune
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents whose language can't be told."""
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without letters, and those no language fits, go."""
+    tune(spark)
     model = langid.fit(docs.where(~held_out()))
     return langid.identify(docs, model).where("not rejected").select(*COLUMNS)
 
 
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take frequent lines out of the texts."""
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: frequent lines leave all texts but one."""
     found = linededup.dedup_lines(docs)
     return found.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
-STAGES = [("language", language), ("lines", lines)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup on five-word shingles: one document of each group stays."""
+    return minhash.drop_near_duplicates(docs, words=5, percent=80).select(*COLUMNS)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that share a window with an item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing: pieces with their sequence and offset."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("minhash_near_dedup", near_stage),
+    ("benchmark_decontamination", benchmark_stage),
+    ("best_fit_packing", packing_stage),
+]
 
+# a trained model and a tokenizer can't be expressed in SQL; tests hold each stage against a brute-force version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again."""
     docs = tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = staged(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
