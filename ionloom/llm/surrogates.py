@@ -78,7 +78,7 @@ def script(name: str) -> str:
 
 
 def _is_name(word: str | None) -> bool:
-    return bool(word) and word[0].isupper() and (word[1:].islower() or "-" in word or "'" in word or "’" in word)
+    return bool(word) and word[0].isupper() and (word[1:].islower() or word.isupper() or "-" in word or "'" in word or "’" in word)
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
