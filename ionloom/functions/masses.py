@@ -28,7 +28,7 @@ def formula_mass(formula: Column) -> Column:
 
     def add(total: Column, term: Column) -> Column:
         mass = F.coalesce(F.try_element_at(table, F.upper(F.substring(term, 1, 1))), F.lit(0.0))
-        count = F.coalesce(F.substring(term, 2, 18).try_cast("double"), F.lit(1.0))
+        count = F.coalesce(F.substr(term, F.lit(2)).try_cast("double"), F.lit(1.0))
         return total + mass * count
 
     return F.aggregate(terms, F.lit(0.0), add)

@@ -18,7 +18,7 @@ CCS_MARK = "-CCS-"
 ADDUCT_MARK = "-Add-"
 DATABASE_PREFIX = "DB#: "
 MISSING_CHAIN = "ZZZ"
-MAX_CHAINS = 4
+MIN_CHAINS = 4
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -115,13 +115,10 @@ def total_unsaturation(slots: Column) -> Column:
 
 
 def chain_unsaturations(chain_text: Column) -> Column:
-    """Sorted array of the four per-chain unsaturations, filled up with ``ZZZ``."""
-    tokens = F.split(chain_text, "_")
-    slots = [
-        F.regexp_replace(F.coalesce(F.get(tokens, F.lit(i)), F.lit(MISSING_CHAIN)), ".*:", "")
-        for i in range(MAX_CHAINS)
-    ]
-    return F.sort_array(F.array(*slots))
+    """Sorted array of the per-chain unsaturations, filled up with ``ZZZ`` to at least four."""
+    bonds = F.transform(F.split(chain_text, "_"), lambda token: F.regexp_replace(token, ".*:", ""))
+    missing = F.greatest(F.lit(MIN_CHAINS) - F.size(bonds), F.lit(0))
+    return F.sort_array(F.concat(bonds, F.array_repeat(F.lit(MISSING_CHAIN), missing)))
 
 
 def chain_cluster(subclass_name: Column, total_uns: Column, chain_text: Column) -> Column:

@@ -101,7 +101,7 @@ def spread_filter(long: DataFrame, cutoff: float = 0.001) -> DataFrame:
 
 
 def good_features_and_samples(
-    long: DataFrame, min_fraction: float = 0.5, min_count: int = 4, rounds: int = 10
+    long: DataFrame, min_fraction: float = 0.5, min_count: int = 4
 ) -> tuple[DataFrame, DataFrame]:
     """Features and samples with enough values; features must also vary.
 
@@ -110,7 +110,7 @@ def good_features_and_samples(
     present = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     features, samples = present.select("feature").distinct(), present.select("sample").distinct()
     n_features, n_samples = features.count(), samples.count()
-    for _ in range(rounds):
+    while True:
         seen = (n_features, n_samples)
         rows = present.join(features, "feature", "left_semi").join(samples, "sample", "left_semi")
         features = (

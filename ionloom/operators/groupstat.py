@@ -8,16 +8,30 @@ size allows and otherwise splits a hot key of the big side.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def match_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null, as it does in a window; ``df`` keeps its key columns."""
+    renamed = other.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys))
+    joined = df.join(renamed, same, how)
+    return joined if how == "left_semi" else joined.drop(*(f"_key_{k}" for k in keys))
+
+
 def attach(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
-    """Add one column per aggregate in ``stats``, computed over ``keys``."""
+    """Add one column per aggregate in ``stats``, computed over ``keys``; null keys form a group."""
     summary = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return df.join(summary, keys, "inner")
+    return match_keys(df, summary, keys)
+
+
+def on_distinct(df: DataFrame, keys: list[str], derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Derive columns once per distinct ``keys`` instead of once per row."""
+    return match_keys(df, derive(df.select(*keys).distinct()), keys)
 
 
 def min_max_scale(df: DataFrame, keys: list[str], value: str, out: str, constant: float | None = 1.0) -> DataFrame:
@@ -55,7 +69,7 @@ def groups_with_at_least(df: DataFrame, keys: list[str], distinct: list[str], n:
     """Keep rows of groups holding at least ``n`` distinct ``distinct`` tuples."""
     tuples = df.select(*keys, *distinct).distinct()
     big = tuples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n)
-    return df.join(big.select(*keys), keys, "left_semi")
+    return match_keys(df, big.select(*keys), keys, "left_semi")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -57,6 +57,9 @@ def average_linkage(items: DataFrame, distances: DataFrame, finish: int = FINISH
         one.alias("na"), one.alias("nb"),
     ).checkpoint()
     left = items.count()
+    pairs = sums.count()
+    if pairs != left * (left - 1) // 2:
+        raise ValueError(f"{left} items need {left * (left - 1) // 2} distances, not {pairs}")
     merges = []
     while left > max(finish, 1):
         gap = F.col("s") / (F.col("na") * F.col("nb"))
@@ -67,7 +70,10 @@ def average_linkage(items: DataFrame, distances: DataFrame, finish: int = FINISH
         mutual = nearest.groupBy("edge").agg(F.count(one).alias("_n")).filter("_n = 2")
         merged = mutual.select("edge.a", "edge.b", F.col("edge.d").alias("height"), "edge.size").checkpoint()
         merges.append(merged)
-        left -= merged.count()
+        done = merged.count()
+        if not done:
+            raise ValueError("no two clusters are nearest to each other; distances must be numbers")
+        left -= done
         moved = merged.select(F.explode(F.array("a", "b")).alias("_old"), F.col("a").alias("_new"), "size")
         renamed = sums
         for end, n in (("a", "na"), ("b", "nb")):

@@ -64,7 +64,10 @@ def eigengenes(long: DataFrame, numbers: DataFrame, modules: DataFrame, pairs: D
     # sum of w * (value - mean): the mean part is the same for every sample
     offset = weights.groupBy("module").agg(F.sum(F.col("_w") * F.col("_mean")).alias("_offset"))
     scores = long.join(weights, "feature").groupBy("module", "sample").agg(F.sum(F.col("_w") * F.col("value")).alias("_raw"))
-    return scores.join(offset, "module").select("module", "sample", (F.col("_raw") - F.col("_offset")).alias("score"))
+    # a sample without a cell of a module still has a score there; modules are few
+    every = long.select("sample").distinct().crossJoin(offset)
+    raw = F.coalesce("_raw", F.lit(0.0))
+    return every.join(scores, ["module", "sample"], "left").select("module", "sample", (raw - F.col("_offset")).alias("score"))
 
 
 def merge_modules(modules: DataFrame, scores: DataFrame, n_samples: int, height: float = MERGE_HEIGHT) -> DataFrame:

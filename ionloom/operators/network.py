@@ -26,7 +26,8 @@ SLICE = 512
 def _flush(pair: tuple[int, int], total: np.ndarray) -> pd.DataFrame:
     i, j = np.nonzero(np.ones_like(total))
     left, right = pair[0] * BLOCK + i, pair[1] * BLOCK + j
-    keep = (left <= right) & (total.ravel() != 0)
+    # a pair of features that share no sample has sum 0 and is a pair nonetheless
+    keep = left <= right
     return pd.DataFrame({"i": left[keep], "j": right[keep], "s": total.ravel()[keep]})
 
 
@@ -78,7 +79,7 @@ def number_features(long: DataFrame, feature: str = "feature") -> DataFrame:
 def pair_sums(long: DataFrame, numbers: DataFrame, kernel: str, row: str = "sample", feature: str = "feature") -> DataFrame:
     """Sum over ``row`` of x*y (``product``) or abs(x-y) (``difference``) per feature pair.
 
-    Missing cells count as 0 and pairs with sum 0 are not listed. Returns
+    Missing cells count as 0; every pair of the features is listed. Returns
     positions ``i <= j`` and the sum ``s``.
     """
     n_features = int(numbers.count())

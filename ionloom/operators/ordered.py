@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionloom.operators.groupstat import match_keys
 from ionloom.session import checkpoint_dir
 
 
@@ -27,7 +28,7 @@ def previous_value(
     carried = ends.select(*keys, "_segment", F.lag("_end").over(chain).alias("_carried"))
     placed = cut.withColumn("_lag", F.lag(value).over(local)).withColumn("_place", F.row_number().over(local))
     return (
-        placed.join(carried, [*keys, "_segment"], "inner")
+        match_keys(placed, carried, [*keys, "_segment"])
         .withColumn(out, F.when(F.col("_place") == 1, F.col("_carried")).otherwise(F.col("_lag")))
         .drop("_segment", "_lag", "_place", "_carried")
     )
@@ -43,8 +44,7 @@ def running_total(
     sums = cut.groupBy(*keys, "_segment").agg(F.sum(value).alias("_sum"))
     carried = sums.select(*keys, "_segment", F.coalesce(F.sum("_sum").over(chain), F.lit(0)).alias("_carried"))
     return (
-        cut.withColumn("_local", F.sum(value).over(local))
-        .join(carried, [*keys, "_segment"], "inner")
+        match_keys(cut.withColumn("_local", F.sum(value).over(local)), carried, [*keys, "_segment"])
         .withColumn(out, F.col("_local") + F.col("_carried"))
         .drop("_segment", "_local", "_carried")
     )
@@ -89,8 +89,7 @@ def change_runs(
         ).alias("_offset"),
     )
     return (
-        counted.drop("_before", "_place", "_step")
-        .join(offsets, [*keys, "_segment"], "inner")
+        match_keys(counted.drop("_before", "_place", "_step"), offsets, [*keys, "_segment"])
         .withColumn(out, F.col("_runs") + F.col("_offset"))
         .drop("_segment", "_runs", "_offset")
     )

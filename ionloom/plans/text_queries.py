@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom.functions import filters, masses, titles
+from ionloom.operators.groupstat import on_distinct
 from ionloom.plans import sqlviews as v
 from ionloom.plans.registry import query
 from ionloom.sources import derived as d
@@ -86,7 +87,7 @@ def subclass_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def chain_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = titles.add_name_columns(_named(spark, sf_dir), "name")
+    rows = on_distinct(_named(spark, sf_dir), ["name"], lambda names: titles.add_name_columns(names, "name"))
     return rows.select(*KEY, "total_c", "total_uns", F.size(F.split("chain", "_")).alias("n_chains"))
 
 
@@ -167,8 +168,9 @@ def name_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def formula_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mass = masses.formula_mass(F.col("formula"))
-    return _named(spark, sf_dir).select(*KEY, "formula", F.round(mass, 6).alias("mass"))
+    mass = F.round(masses.formula_mass(F.col("formula")), 6).alias("mass")
+    rows = on_distinct(_named(spark, sf_dir), ["formula"], lambda formulas: formulas.select("formula", mass))
+    return rows.select(*KEY, "formula", "mass")
 
 
 @query(

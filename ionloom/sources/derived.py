@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ionloom.functions.masses import formula_mass
 from ionloom.functions.titles import add_name_columns, description, split_title
+from ionloom.operators.groupstat import on_distinct
 
 LIPID_CLASSES = ["PC", "PE", "TG", "Cer", "PI", "SM"]
 ADDUCTS = ["[M+H]+", "[M+CH3COO]-", "[M+HCOO]-", "[M-H]-"]
@@ -109,9 +110,10 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = rows.groupBy("q", "file", "peak_num", "mz", "rt", description(F.col("title")).alias("d")).agg(
         F.max("score1").alias("score_match"), F.max("score2").alias("score_ratio")
     )
-    parts = split_title(F.col("d"))
-    named = best.select(
-        F.col("q").alias("x"), "file", "peak_num", "mz", "rt", "score_match", "score_ratio",
-        parts["name"].alias("title"), parts["formula"].alias("formula"), parts["adduct"].alias("adduct"),
-    )
-    return add_name_columns(named, "title").withColumn("rawmz", formula_mass(F.col("formula")))
+
+    def parse(texts: DataFrame) -> DataFrame:
+        parts = split_title(F.col("d"))
+        named = texts.select("d", parts["name"].alias("title"), parts["formula"].alias("formula"), parts["adduct"].alias("adduct"))
+        return add_name_columns(named, "title").withColumn("rawmz", formula_mass(F.col("formula")))
+
+    return on_distinct(best.withColumnRenamed("q", "x"), ["d"], parse).drop("d")

@@ -25,17 +25,27 @@ class MspLabels:
 
 DEFAULT_LABELS = MspLabels()
 LIBRARY_INTENSITY = 0.1
+BLANK_LINES = r"\r?\n(?:[ \t]*\r?\n)+"
 
 
-def read_records(spark: SparkSession, path: str, crlf: bool = False) -> DataFrame:
-    """One row per blank-line separated record.
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """One row per blank-line separated record, with the ``file`` it is from.
 
-    The reader splits files at the separator itself, so one large library
-    file is read by many tasks.
+    The first line tells the line ending. The reader splits files at the blank
+    line of that ending, so one large library file is read by many tasks;
+    what other blank lines are left (white space in them, another ending) are split at afterwards.
     """
-    separator = "\r\n\r\n" if crlf else "\n\n"
+    first = spark.read.option("lineSep", "\n").text(path).limit(1).collect()
+    separator = "\r\n\r\n" if first and first[0]["value"].endswith("\r") else "\n\n"
     text = spark.read.option("lineSep", separator).text(path)
-    return text.select(F.col("value").alias("record")).filter(F.trim(F.replace("record", F.lit("\n"))) != "")
+    return split_records(text.select("value", F.col("_metadata.file_path").alias("file")), "value")
+
+
+def split_records(texts: DataFrame, text: str) -> DataFrame:
+    """Records of texts that may hold several, split at blank lines."""
+    parts = F.explode(F.split(text, BLANK_LINES))
+    rest = [c for c in texts.columns if c != text]
+    return texts.select(*rest, parts.alias("record")).filter(F.col("record").rlike(r"\S"))
 
 
 def _field(lines: Column, label: str) -> Column:
@@ -50,12 +60,13 @@ def parse_records(records: DataFrame, labels: MspLabels = DEFAULT_LABELS) -> Dat
     A record needs every label, a numeric precursor, exactly one peak-count
     line and at least one line after it.
     """
-    lines = F.filter(F.split("record", "\r?\n"), lambda text: F.length(text) > 0)
+    lines = F.filter(F.split("record", "\r?\n"), lambda text: F.length(F.trim(text)) > 0)
     # exploding one-element arrays keeps the completeness check above the parsing;
     # pushed below it, the check would parse every field a second time
-    split = records.select(F.explode(F.array(lines)).alias("_lines"))
+    rest = [c for c in records.columns if c != "record"]
+    split = records.select(*rest, F.explode(F.array(lines)).alias("_lines"))
     counts = F.filter("_lines", lambda text: text.contains(labels.num_peaks))
-    counted = split.select("_lines", F.explode(F.array(counts)).alias("_counts")).filter(F.size("_counts") == 1)
+    counted = split.select(*rest, "_lines", F.explode(F.array(counts)).alias("_counts")).filter(F.size("_counts") == 1)
     at = F.array_position("_lines", F.get("_counts", F.lit(0))).cast("int")
     # the adduct label carries no colon, so the value may start with one
     adduct = F.regexp_replace(_field(F.col("_lines"), labels.adduct), "^: ", "")
@@ -68,7 +79,7 @@ def parse_records(records: DataFrame, labels: MspLabels = DEFAULT_LABELS) -> Dat
         F.slice("_lines", at + 1, F.greatest(F.size("_lines"), F.lit(1))).alias("peak_lines"),
     )
     required = ["name", "formula", "lib_mz", "adduct", "esi_mode"]
-    return counted.select(F.inline(F.array(fields))).dropna(subset=required).filter(F.size("peak_lines") > 0)
+    return counted.select(*rest, F.inline(F.array(fields))).dropna(subset=required).filter(F.size("peak_lines") > 0)
 
 
 def explode_peaks(records: DataFrame, key: str) -> DataFrame:
@@ -83,11 +94,17 @@ def explode_peaks(records: DataFrame, key: str) -> DataFrame:
 
 
 def read_msp(
-    spark: SparkSession, path: str, labels: MspLabels = DEFAULT_LABELS, crlf: bool = False
+    spark: SparkSession, path: str, labels: MspLabels = DEFAULT_LABELS
 ) -> tuple[DataFrame, DataFrame]:
-    """Library entries (numbered by mass) and their cleaned fragments."""
-    parsed = parse_records(read_records(spark, path, crlf), labels)
-    entries = global_ordinal(parsed, ["lib_mz", "name", "adduct", "peak_lines"], "lid")
+    """Library entries (numbered by mass) and their cleaned fragments.
+
+    A file without any complete record raises, since its labels are others.
+    """
+    records = read_records(spark, path)
+    entries = global_ordinal(parse_records(records, labels), ["lib_mz", "name", "adduct", "peak_lines"], "lid")
+    empty = records.select("file").distinct().join(entries.select("file").distinct(), "file", "left_anti").head(1)
+    if empty or entries.isEmpty():
+        raise ValueError(f"no complete record in {empty[0]['file'] if empty else path}")
     peaks = clean_library_peaks(explode_peaks(entries, "lid"), ["lid"], ["pos"], LIBRARY_INTENSITY)
     library = entries.select(
         "lid", "name", "formula", "lib_mz", "adduct", "esi_mode", F.lit(0.0).alias("ccs"), F.lit(0.0).alias("rt"),

@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 # fixed values: accessions of the controlled vocabulary
 MS_LEVEL, SCAN_START, SELECTED_ION = "MS:1000511", "MS:1000016", "MS:1000744"
 MZ_ARRAY, INTENSITY_ARRAY = "MS:1000514", "MS:1000515"
-FLOAT64, ZLIB = "MS:1000523", "MS:1000574"
+FLOAT64, ZLIB, PLAIN = "MS:1000523", "MS:1000574", "MS:1000576"
+GROUP = "referenceableParamGroupRef"
 
 _ARRAY = re.compile(r"<binaryDataArray\b.*?</binaryDataArray>", re.S)
 _BINARY = re.compile(r"<binary>(.*?)</binary>", re.S)
@@ -35,11 +36,14 @@ def _attribute(param: Column, name: str) -> Column:
     return F.regexp_extract(param, f'{name}="([^"]*)"', 1)
 
 
-def _decode(record: str) -> list[dict]:
+def _decode(record: str) -> dict[str, np.ndarray]:
+    """The m/z and intensity arrays of a scan; what can't be read for sure raises."""
     found = {}
     for block in _ARRAY.findall(record):
         payload = _BINARY.search(block)
         raw = base64.b64decode(payload.group(1)) if payload else b""
+        if raw and (GROUP in block or (ZLIB not in block and PLAIN not in block)):
+            raise ValueError("a binary array states neither zlib nor no compression by itself")
         if ZLIB in block and raw:
             raw = zlib.decompress(raw)
         values = np.frombuffer(raw, dtype="<f8" if FLOAT64 in block else "<f4").astype(float)
@@ -47,17 +51,19 @@ def _decode(record: str) -> list[dict]:
             if kind in block:
                 found[kind] = values
     mz, intensity = found.get(MZ_ARRAY, ()), found.get(INTENSITY_ARRAY, ())
-    return [{"mz": m, "intensity": i} for m, i in zip(mz, intensity)]
+    if len(mz) != len(intensity):
+        raise ValueError(f"a scan holds {len(mz)} masses and {len(intensity)} intensities")
+    return {"mz": mz, "intensity": intensity}
 
 
-PEAKS_TYPE = T.ArrayType(
-    T.StructType([T.StructField("mz", T.DoubleType()), T.StructField("intensity", T.DoubleType())])
+ARRAYS_TYPE = T.StructType(
+    [T.StructField("mz", T.ArrayType(T.DoubleType())), T.StructField("intensity", T.ArrayType(T.DoubleType()))]
 )
 
 
-@F.pandas_udf(PEAKS_TYPE)
-def _peaks(records: pd.Series) -> pd.Series:
-    return records.map(_decode)
+@F.pandas_udf(ARRAYS_TYPE)
+def _arrays(records: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_decode(r) for r in records], columns=["mz", "intensity"])
 
 
 def read_mzml(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +80,12 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
         _attribute(_param(record, SELECTED_ION), "value").try_cast("double").alias("precursor_mz"),
         record.alias("_record"),
     )
-    return scans.filter("_level = '2'").withColumn("ms2", _peaks("_record")).drop("_record", "_level")
+    # values given by reference to a parameter group aren't looked up, so a scan that lacks its level raises
+    unknown = (F.col("_level") == "") & F.col("_record").contains(GROUP) & F.col("_record").rlike("<spectrum\\b")
+    level = F.when(unknown, F.raise_error(F.lit("a scan takes its level from a parameter group"))).otherwise(F.col("_level"))
+    second = scans.withColumn("_level", level).filter("_level = '2'").withColumn("_a", _arrays("_record"))
+    peaks = F.arrays_zip(F.col("_a.mz").alias("mz"), F.col("_a.intensity").alias("intensity"))
+    return second.withColumn("ms2", peaks).drop("_record", "_level", "_a")
 
 
 # more peaks than one scan can hold, so that row numbers of scans do not overlap

@@ -21,7 +21,7 @@ RECORDS = [
 def test_msp(spark, tmp_path, crlf):
     text = "\n\n" + "\n\n".join(RECORDS) + "\n\n\n"
     (tmp_path / "lib.msp").write_bytes((text.replace("\n", "\r\n") if crlf else text).encode())
-    library, peaks = msp.read_msp(spark, str(tmp_path / "lib.msp"), crlf=crlf)
+    library, peaks = msp.read_msp(spark, str(tmp_path / "lib.msp"))
     rows = library.orderBy("lid").collect()
     assert [(r.lid, r.name, r.formula, r.lib_mz, r.adduct, r.esi_mode) for r in rows] == [
         (1, "B", "CH4", 17.04, "[M+H]+", "N"), (2, "A", "C2H6O", 47.05, "[M+H]+", "P"),
@@ -132,3 +132,15 @@ def test_arrivals_equal_batch(spark, tmp_path):
     annotate_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "progress"), job, max_files=1).awaitTermination()
     found = spark.read.parquet(str(tmp_path / "out")).select("file", "sid", "total")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, job(df).collect()))
+
+
+def test_msp_blank_lines_and_foreign_files(spark, tmp_path):
+    entry = "Name: A\nFormula: C2H6O\nPrecursorMZ: {}\nPrecursor_type: [M+H]+\nIon_mode: P\nNum Peaks: 1\n50.5 9\n"
+    mixed = entry.format(100) + " \t\n" + entry.format(101) + "\n\n\n" + entry.format(102).replace("\n", "\r\n") + "\r\n" + entry.format(103)
+    (tmp_path / "lib.msp").write_text(mixed, newline="")
+    library, peaks = msp.read_msp(spark, str(tmp_path))
+    assert sorted(r["lib_mz"] for r in library.collect()) == [100.0, 101.0, 102.0, 103.0]
+    assert peaks.count() == 4
+    (tmp_path / "other.msp").write_text("NAME: A\nPEPMASS: 7\n\nNAME: B\n")
+    with pytest.raises(ValueError, match="other.msp"):
+        msp.read_msp(spark, str(tmp_path))
