@@ -13,11 +13,14 @@ Other columns play no part.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,14 +34,73 @@ SEGMENT = 1 << 20  # characters tokenized at once
 _NO_SPACE = re.compile("[\x1c-\x1f]")
 
 
+def byte_letters() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+class WordMerges:
+    """The vocabulary's merges as ranks for plain words, many at once.
+
+    A word's end mark becomes a byte of its own, which joins the last byte before any other merge. Merging by
+    rank of the joined bytes gives the ids of the merge list, since each token comes of one merge.
+    """
+
+    END = b"\x01"
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        letters = byte_letters()
+
+        def raw(token: str) -> bytes:
+            word = token.removesuffix("</w>")
+            return bytes(letters[c] for c in word) + (self.END if word != token else b"")
+
+        ids = {raw(token): i for token, i in model["vocab"].items() if set(token.removesuffix("</w>")) <= letters.keys()}
+        order = [bytes([b]) for b in range(256)] + [bytes([b]) + self.END for b in range(256) if b != 1]
+        known = set(order)
+        for merge in model["merges"]:
+            left, right = merge if isinstance(merge, list) else merge.split(" ")
+            token = raw(left + right)
+            if token not in known:
+                known.add(token)
+                order.append(token)
+        self.ids = np.array([ids.get(token, -1) for token in order], np.int64)
+        self.last = np.array([token.endswith(self.END) for token in order])
+        self.encoding = tiktoken.Encoding("words", pat_str=r"[^\x01]+\x01", mergeable_ranks={t: r for r, t in enumerate(order)}, special_tokens={})
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        """Ids of plain lower-case words, four bytes each."""
+        ranks = np.array(self.encoding.encode_ordinary("\x01".join(words) + "\x01"), np.int64)
+        ids = self.ids[ranks].astype("<u4").tobytes()
+        ends = (np.flatnonzero(self.last[ranks]) + 1) * 4
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
 class Encoder:
-    """Token ids of a text, four bytes each. Words between white space are independent, so each is encoded once."""
+    """Token ids of a text, four bytes each.
+
+    Words between white space are independent, so each is encoded once and remembered. Words of plain letters,
+    with commas and full stops after them or not, go through the vocabulary's merges in bulk; any other string
+    goes through the tokenizer itself.
+    """
+
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.merges, self.known, self.tails = Tokenizer.from_file(path), WordMerges(path), {}, {"": b""}
+
+    def _tokenized(self, words: list[str]) -> list[bytes]:
+        codes = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [struct.pack(f"<{len(c.ids)}I", *c.ids) for c in codes]
 
     def _learn(self, words: set[str]) -> None:
         known = self.known
@@ -47,24 +109,24 @@ class Encoder:
             return
         if len(known) + len(new) > CACHE:
             known.clear()
-            new = list(words)
-        whole, parts = [], []
+            new = words
+        heads, rest = {}, []
         for word in new:
-            head = word.rstrip(".,")
-            # a comma or full stop after a letter begins a token of its own
-            if head and len(head) < len(word) and head[-1] < "ɐ" and head[-1].isalpha():
-                parts.append((word, head, word[len(head) :]))
+            plain = self.PLAIN.fullmatch(word)
+            if plain:
+                heads[word] = plain
             else:
-                whole.append(word)
-        need = {x for _, head, tail in parts for x in (head, tail)}
-        whole += [x for x in need if x not in known and x not in words]
-        for word, code in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            known[word] = b"".join(i.to_bytes(4, "little") for i in code.ids)
-        for word, head, tail in parts:
-            if head not in known or tail not in known:
-                for x in (head, tail):
-                    known[x] = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(x, add_special_tokens=False).ids)
-            known[word] = known[head] + known[tail]
+                rest.append(word)
+        known.update(zip(rest, self._tokenized(rest), strict=True))
+        if heads:
+            lower = list({m[1].lower() for m in heads.values()})
+            coded = dict(zip(lower, self.merges(lower), strict=True))
+            tails = [t for t in {m[2] for m in heads.values()} if t not in self.tails]
+            if len(self.tails) > 1000:
+                self.tails, tails = {"": b""}, list({m[2] for m in heads.values()})
+            self.tails.update(zip(tails, self._tokenized(tails), strict=True))
+            for word, m in heads.items():
+                known[word] = coded[m[1].lower()] + self.tails[m[2]]
 
     def __call__(self, text: str) -> bytes:
         out, at = [], 0
