@@ -28,6 +28,7 @@ WINDOW, STRIDE = 48, 24
 WORD_BITS, TRI_BITS = 16, 13
 DIM, HIDDEN = 8, 8
 CACHE = 200_000  # words a Python worker remembers
+LEXICAL = 4  # first rounds in which words choose the windows
 AT_ONCE = 2048  # windows scored at once
 SEGMENT = 1 << 20  # bytes split into words at once
 
@@ -169,8 +170,23 @@ def logits(network: Network, projected: dict[str, np.ndarray], windows: np.ndarr
     return out
 
 
+def telling(cut: list[np.ndarray], target: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """In how many texts each word is, and by how many deviations more often in toxic ones than by chance."""
+    seen, toxic = np.zeros(words), np.zeros(words)
+    for windows, y in zip(cut, target, strict=True):
+        here = np.unique(windows[windows >= 0])
+        seen[here] += 1
+        toxic[here] += y
+    expected = seen * target.mean()
+    return seen, (toxic - expected) / np.sqrt(expected + 1)
+
+
 def train(texts: list[str], labels: list[int], epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 11) -> Network | None:
-    """Fit a network; each text is learned by the window of its highest score."""
+    """Fit a network; each text is learned by the window of its highest score.
+
+    In the first rounds the window with the most telling word stands in for it. Words of fewer than three texts
+    have no embedding of their own to learn, only that of their trigrams.
+    """
     kept = [(words_of(t), y) for t, y in zip(texts, labels, strict=True)]
     kept = [(w, y) for w, y in kept if w]
     if len({y for _, y in kept}) < 2:
@@ -182,12 +198,16 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, batch: int = 64
     every, network, random = np.concatenate(cut), Network.fresh(seed), np.random.default_rng(seed)
     first = np.cumsum([0, *(len(c) for c in cut)])[:-1]
     moments = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in network.p.items()}
-    seen_word, seen_tri = np.full(network.word.shape, 1e-4, np.float32), np.full(network.tri.shape, 1e-4, np.float32)
+    grown_word, grown_tri = np.full(network.word.shape, 1e-4, np.float32), np.full(network.tri.shape, 1e-4, np.float32)
     weight = np.where(target == 1, 1 / max(target.mean(), 0.05), 1 / max(1 - target.mean(), 0.05)).astype(np.float32) / 2
+    seen, lift = telling(cut, target, len(words))
     tick = 0
     for epoch in range(epochs):
-        vectors, _ = network.inputs(words)
-        score = logits(network, {s: (vectors @ network.p[f"W{s}"] + network.p[f"c{s}"]) for s in "fb"}, every) if epoch else random.random(len(every))
+        if epoch < LEXICAL:
+            score = np.where(every >= 0, lift[every], -np.inf).max(1)
+        else:
+            vectors, _ = network.inputs(words)
+            score = logits(network, {s: (vectors @ network.p[f"W{s}"] + network.p[f"c{s}"]) for s in "fb"}, every)
         ranked = np.lexsort((-score, owner))
         chosen = ranked[first]
         for part in np.array_split(random.permutation(len(cut)), max(1, len(cut) // batch)):
@@ -213,13 +233,14 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, batch: int = 64
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 network.p[k] -= (rate * (m / (1 - 0.9**tick)) / (np.sqrt(v / (1 - 0.999**tick)) + 1e-8)).astype(np.float32)
+            d_x[seen[used] < 3, :DIM] = 0
             d_tri = np.repeat(d_x[:, DIM:] / sizes, sizes[:, 0].astype(int), axis=0)
-            for table, seen, at, g in ((network.word, seen_word, bucket, d_x[:, :DIM]), (network.tri, seen_tri, tri, d_tri)):
+            for table, grown, at, g in ((network.word, grown_word, bucket, d_x[:, :DIM]), (network.tri, grown_tri, tri, d_tri)):
                 rows, where = np.unique(at, return_inverse=True)
                 total = np.zeros((len(rows), DIM), np.float32)
                 np.add.at(total, where, g)
-                seen[rows] += total * total
-                table[rows] -= 0.05 * total / np.sqrt(seen[rows])
+                grown[rows] += total * total
+                table[rows] -= 0.05 * total / np.sqrt(grown[rows])
     return network
 
 
@@ -267,7 +288,7 @@ class Scorer:
         np.maximum.at(scores, [k for k, _ in group], best)
 
 
-def fit(labelled: DataFrame, rows: int = 6000, longest: int = 1500, text: str = "text", label: str = "toxic", order: str = "doc_id") -> Network | None:
+def fit(labelled: DataFrame, rows: int = 6000, longest: int = 8000, text: str = "text", label: str = "toxic", order: str = "doc_id") -> Network | None:
     """Train on at most ``rows`` labelled texts of at most ``longest`` characters, half of them toxic if there are so many."""
     spoken = labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(order).cast("string"), text).alias("o"))
     spoken = spoken.where((F.char_length("t") > 0) & (F.char_length("t") <= longest) & F.col("y").isin(0, 1))
