@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom.operators import fingerprint
@@ -56,6 +56,34 @@ def msp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "msp_records",
+    """
+    SELECT l_orderkey AS id, l_linenumber + 100 * k AS line, l_extendedprice + k AS lib_mz, CAST(1 + k AS INTEGER) AS n_peaks
+    FROM lineitem, (SELECT unnest([0, 1, 2]) AS k)
+    """,
+)
+def msp_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of three library records each, under every kind of blank line, split and parsed."""
+    text = lambda c: c.cast("string")
+
+    def record(k: int, end: str) -> Column:
+        peaks = [F.lit(f"{50 + i}.5 {i + 1}") for i in range(k + 1)]
+        name = F.concat(F.lit("Name: "), text(F.col("l_orderkey")), F.lit("#"), text(F.col("l_linenumber") + 100 * k))
+        head = [name, F.lit("Formula: C2H6O"), F.concat(F.lit("PrecursorMZ: "), text(F.col("l_extendedprice") + k))]
+        tail = [F.lit("Precursor_type: [M+H]+"), F.lit("Ion_mode: P"), F.lit(f"Num Peaks: {k + 1}")]
+        return F.concat_ws(end, *head, *tail, *peaks)
+
+    whole = F.concat(record(0, "\n"), F.lit("\n \t\n\n"), record(1, "\r\n"), F.lit("\r\n \r\n"), record(2, "\r\n"), F.lit("\r\n\r\n"))
+    parsed = msp.parse_records(msp.split_records(d.table(spark, sf_dir, "lineitem").select(whole.alias("value")), "value"))
+    return parsed.select(
+        F.substring_index("name", "#", 1).cast("bigint").alias("id"),
+        F.substring_index("name", "#", -1).cast("bigint").alias("line"),
+        "lib_mz",
+        F.size("peak_lines").alias("n_peaks"),
+    )
+
+
 @query(
     "max_normalise",
     """
