@@ -21,9 +21,23 @@ def to_long(wide: DataFrame, ids: list[str]) -> DataFrame:
     return wide.unpivot(ids, features, "feature", "value")
 
 
-def to_wide(long: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
-    """Pivot back to one column per feature; the feature list fixes the schema."""
-    return long.groupBy(*ids).pivot("feature", features).agg(F.first("value"))
+def feature_names(long: DataFrame) -> list[str]:
+    """The table's features in order; they become columns, so there are as many as a schema can hold."""
+    return [r["feature"] for r in long.select("feature").distinct().orderBy("feature").collect()]
+
+
+def to_wide(long: DataFrame, ids: list[str], features: list[str] | None = None) -> DataFrame:
+    """Pivot back to one column per feature, by default for all features of the table.
+
+    A given list fixes the schema; a feature outside it raises. Of several values of a cell the largest counts.
+    """
+    if features is None:
+        features = feature_names(long)
+    else:
+        known = F.coalesce(F.col("feature").isin(*features), F.lit(False))
+        stray = F.raise_error(F.concat(F.lit("unknown feature: "), F.coalesce("feature", F.lit("null"))))
+        long = long.withColumn("feature", F.when(known, F.col("feature")).otherwise(stray))
+    return long.groupBy(*ids).pivot("feature", features).agg(F.max("value"))
 
 
 def drop_features(long: DataFrame, pattern: str = LABEL_STANDARD) -> DataFrame:

@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from ionloom.operators.groupstat import attach
 from ionloom.operators.ordered import running_total
 
-SEGMENTS = 1024
+SEGMENTS = 128
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, **positions: Column) -> DataFrame:
     """The values at 1-based ``positions`` (expressions over ``n``, the group size).
 
     Equal values are counted first; a running total over the distinct values,
-    cut into segments of the value range, then locates each position.
+    cut into segments of about equal size, then locates each position. The cuts
+    are approximate quantiles of the distinct values, so a heavy tail or a
+    crowded range makes no segment large.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_copies"))
-    ranged = attach(counts, keys, n=F.sum("_copies"), _low=F.min(value), _high=F.max(value))
-    spread = F.try_divide(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low"))
-    segment = F.floor(F.coalesce(spread, F.lit(0.0)) * SEGMENTS)
+    shares = [k / SEGMENTS for k in range(1, SEGMENTS)]
+    ranged = attach(counts, keys, n=F.sum("_copies"), _cuts=F.percentile_approx(value, shares, 10_000))
+    segment = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
     placed = running_total(ranged, keys, [value], "_copies", segment, "_upto")
     return placed.groupBy(*keys).agg(
         F.first("n").alias("n"),

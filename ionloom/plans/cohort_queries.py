@@ -11,7 +11,6 @@ from ionloom.plans.registry import query
 from ionloom.session import checkpoint_dir
 from ionloom.sources import derived as d
 
-BRANDS = [f"Brand#{n}" for n in range(1, 26)]
 
 _MODES = """
     WITH joined AS (
@@ -291,11 +290,12 @@ def wide_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     sales = _brand_sales(spark, sf_dir)
-    wide = cohort.to_wide(sales, ["sample"], BRANDS).fillna(0.0)
+    brands = cohort.feature_names(sales)
+    wide = cohort.to_wide(sales, ["sample"], brands).fillna(0.0)
     people = d.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("sample"), (F.col("c_acctbal") > 4500).cast("int").alias("label")
     )
-    names = [f"lipid_{n}" for n in range(1, len(BRANDS) + 1)]
+    names = [f"lipid_{n}" for n in range(1, len(brands) + 1)]
     return wide.join(people, "sample").toDF("sample", *names, "label"), names
 
 
@@ -309,9 +309,17 @@ def forest_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("boosted_confusion")
 def boosted_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, names = _labelled(spark, sf_dir)
-    # fewer rounds than the cohort script uses, which sets the default
-    model = classify.boosted_trees(rows, names, rounds=10, step=0.1)
-    return cohort.confusion(classify.classify(rows, model, names), "label", "predicted")
+    # one cohort trains, the other is told apart; fewer rounds than the cohort script uses, which sets the default
+    discovery, validation = rows.where("sample % 2 = 0"), rows.where("sample % 2 = 1")
+    model = classify.boosted_trees(discovery, names, rounds=10, step=0.1)
+    return cohort.confusion(classify.classify(validation, model, names), "label", "predicted")
+
+
+@query("forest_confusion")
+def forest_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = _labelled(spark, sf_dir)
+    model = classify.random_forest(rows.where("sample % 2 = 0"), names)
+    return cohort.confusion(classify.classify(rows.where("sample % 2 = 1"), model, names), "label", "predicted")
 
 
 @query(

@@ -1,10 +1,11 @@
 """Rows, pairs and digits that must not get lost on the way."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ionloom.functions import masses, titles
-from ionloom.operators import clusters, cohort, fusion, groupstat, linkage, modules, network, ordered
+from ionloom.operators import clusters, cohort, fusion, groupstat, linkage, modules, network, ordered, quantiles
 
 
 def test_rows_with_a_null_key_stay(spark):
@@ -77,3 +78,18 @@ def test_samples_without_a_cell_of_a_module_have_a_score(spark):
     scores = modules.eigengenes(long, numbers, module, pairs, 7).collect()
     assert {r["sample"] for r in scores} == {f"s{i}" for i in range(6)} | {"late"}
     assert sum(r["score"] for r in scores) == pytest.approx(0.0, abs=1e-9)
+
+
+def test_quartiles_of_a_heavy_tail(spark):
+    values = [(float(i % 5000) / 5000,) for i in range(20_000)] + [(10.0**k,) for k in range(12)]
+    frame = spark.createDataFrame(values, "v double").withColumn("g", F.lit(None).cast("string"))
+    found = quantiles.quantiles(frame, ["g"], "v", q=0.5, top=0.9999).first()
+    want = np.quantile([v for v, in values], [0.5, 0.9999])
+    assert [found["q"], found["top"]] == pytest.approx(list(want))
+
+
+def test_unknown_features_are_not_dropped_in_silence(spark):
+    long = spark.createDataFrame([("s", "a", 1.0), ("s", "b", 2.0)], "sample string, feature string, value double")
+    assert cohort.to_wide(long, ["sample"]).collect() == [("s", 1.0, 2.0)]
+    with pytest.raises(Exception, match="unknown feature: b"):
+        cohort.to_wide(long, ["sample"], ["a"]).collect()

@@ -126,8 +126,10 @@ def test_arrivals_equal_batch(spark, tmp_path):
     rows = [("f", 1, 1.0, 100.0, 0, 50.0, 5.0), ("f", 1, 1.0, 100.0, 1, 60.0, 1.0), ("g", 2, 1.0, 100.0, 0, 50.0, 5.0)]
     schema = "file string, sid bigint, rt double, precursor_mz double, scan_no int, mz double, intensity double"
     df = spark.createDataFrame(rows, schema)
-    for file in ("f", "g"):
-        df.filter(F.col("file") == file).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    # the rows of run f arrive in two files, with a file of run g between them
+    for scan, file in ((0, "f"), (0, "g"), (1, "f")):
+        part = df.filter((F.col("file") == file) & (F.col("scan_no") == scan))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     job = lambda batch: batch.groupBy("file", "sid").agg(F.sum("intensity").alias("total"))
     annotate_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "progress"), job, max_files=1).awaitTermination()
     found = spark.read.parquet(str(tmp_path / "out")).select("file", "sid", "total")
