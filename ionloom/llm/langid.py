@@ -100,9 +100,10 @@ def gram_sums(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[
     return sums, counts
 
 
-def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 4, rate: float = 0.5, seed: int = 7, miss: float = 0.001) -> Model | None:
+def train(texts: list[str], labels: list[str], dim: int = 16, least_steps: int = 12_000, rate: float = 0.5, seed: int = 7, miss: float = 0.001) -> Model | None:
     """Fit the embeddings and the softmax; a fifth of the pieces sets the temperature and the threshold.
 
+    Four rounds over the pieces, and more until ``least_steps`` steps, so that small tables are learned too.
     The threshold is the score that all but ``miss`` of the calibration pieces reach, at most 0.4.
     """
     languages = sorted(set(labels))
@@ -120,6 +121,7 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 4, r
     fit = order[len(order) // 5 :]
     embed = random.normal(0, 0.1, (BUCKETS, dim))
     weight, bias = random.normal(0, 0.1, (dim, len(languages))), np.zeros(len(languages))
+    epochs = max(4, -(-least_steps // max(len(fit), 1)))
     steps, step = epochs * len(fit), 0
     for _ in range(epochs):
         for i in random.permutation(fit):
@@ -138,7 +140,7 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 4, r
             bias -= speed * 0.1 * error
             np.subtract.at(embed, bag, speed * back / len(bag) * 8)
     table = embed @ weight
-    logits = np.array([table[bags[i]].mean(0) + bias if len(bags[i]) else bias for i in held]).reshape(len(held), -1)
+    logits = np.array([table[bags[i]].mean(0) + bias if len(bags[i]) else bias for i in held]).reshape(len(held), len(languages))
 
     def loss(t: float) -> float:
         z = logits / t
