@@ -184,7 +184,7 @@ def op9_embedding_near_dedup(spark, sf_dir):
 def op2_toxicity(spark, sf_dir):
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
-    found = toxicity.score(documents, toxicity.fit(documents.join(labels, "doc_id")))
+    found = toxicity.score(documents, toxicity.fit(documents, labels))
     return found.select("doc_id", held_out().alias("held_out"), "score", toxicity.decided().alias("predicted"))
 
 

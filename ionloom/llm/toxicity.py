@@ -288,16 +288,25 @@ class Scorer:
         np.maximum.at(scores, [k for k, _ in group], best)
 
 
-def fit(labelled: DataFrame, rows: int = 6000, longest: int = 8000, text: str = "text", label: str = "toxic", order: str = "doc_id") -> Network | None:
-    """Train on at most ``rows`` labelled texts of at most ``longest`` characters, half of them toxic if there are so many."""
-    spoken = labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(order).cast("string"), text).alias("o"))
-    spoken = spoken.where((F.char_length("t") > 0) & (F.char_length("t") <= longest) & F.col("y").isin(0, 1))
-    have = {r["y"]: r["count"] for r in spoken.groupBy("y").count().collect()}
+def fit(documents: DataFrame, labels: DataFrame, rows: int = 6000, longest: int = 8000, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Network | None:
+    """Train on at most ``rows`` labelled texts of at most ``longest`` characters, half of them toxic if there are so many.
+
+    Three times as many labels are drawn by hash; these few are what is broadcast to the documents, whose texts
+    stay where they are.
+    """
+    part, span = rows // 2, 1 << 31
+    order = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(span))
+    marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), order.alias("o")).where("y in (0, 1) and k is not null")
+    have = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    drawn = []
+    for y in (0, 1):
+        limit = span if have.get(y, 0) <= 6 * part else span * 6 * part // have[y]
+        drawn.append(marked.where((F.col("y") == y) & (F.col("o") < limit)).orderBy("o", "k").limit(3 * part))
+    spoken = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "k")
+    spoken = spoken.where((F.char_length("t") > 0) & (F.char_length("t") <= longest))
     found = []
     for y in (0, 1):
-        span, part = 1 << 31, rows // 2
-        limit = span if have.get(y, 0) <= 2 * part else span * 2 * part // have[y]
-        found += spoken.where((F.col("y") == y) & (F.pmod("o", F.lit(span)) < limit)).orderBy(F.pmod("o", F.lit(span)), "t").limit(part).select("t", "y").collect()
+        found += spoken.where(F.col("y") == y).orderBy("o", "t").limit(part).select("t", "y").collect()
     return train([r["t"] for r in found], [r["y"] for r in found])
 
 

@@ -157,7 +157,7 @@ def test_toxicity_on_whole_texts(documents_of, odd, none, network):
     assert all(0 <= s <= 1 for _, s in scores)
     assert {s for i, s in scores if i in (1, 2, 6)} == {0.0}
     assert toxicity.score(none, network).count() == 0
-    assert toxicity.fit(none.withColumnRenamed("n", "toxic")) is None
+    assert toxicity.fit(none, none.withColumnRenamed("n", "toxic")) is None
     assert {r["score"] for r in toxicity.score(odd, None).collect()} == {0.0}
 
 
