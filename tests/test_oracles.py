@@ -1,12 +1,13 @@
 """Registered queries against their SQL twins on the smallest tables."""
 
-import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from ionloom.plans import catalogue
 
 FOLDER = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -14,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     def text(value):
-        if value is None or (isinstance(value, float) and math.isnan(value)):
+        if pd.isna(value):
             return "null"
         return f"{value:.5f}" if isinstance(value, float) else str(value)
 
@@ -31,7 +32,7 @@ def database():
 
 
 @pytest.mark.skipif(not FOLDER.exists(), reason="needs the test tables")
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_sql(spark, database, name):
     found = entry.queries()[name](spark, str(FOLDER)).toPandas()
     expected = database.execute(entry.oracle_sql()[name]).df()
