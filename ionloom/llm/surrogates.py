@@ -4,7 +4,9 @@ E-mail addresses, phone and card numbers, IPv4 addresses, social security number
 texts. An entity's stand-in comes from an HMAC of its type and its normal form, so one person or number has one
 stand-in throughout the corpus (coreference), however it is spelled; shape, separators, letter case, script and, for
 given names, gender are kept, and check digits hold. Stand-ins are checked over the corpus: where two values met on
-one stand-in, or a stand-in is some other entity's true value, all but the least value draw again (distinctness).
+one stand-in, or a stand-in is some other entity's true value, all but the least value draw again (distinctness). Names
+and local parts of addresses grow with each redraw, phone numbers after GROWS redraws, so that no pool of stand-ins is
+ever used up; the pools of the other kinds, which have a fixed length, hold 10^8 values or more.
 
 Defined results: a null or empty text stays as it is, with no entities. Of overlapping entities the one found by the
 earlier kind in KINDS stays. Repeated rows are rewritten alike. Columns named like results are replaced; names that
@@ -60,6 +62,9 @@ GENDER = {g: s for s, gs in GIVEN.items() for g in gs}
 ADDRESS = {t: s for s, ts in TITLES.items() for t in ts}
 _DIGIT = re.compile(r"[0-9]")
 
+# Redraws after which a phone number's stand-in has a digit more, and after which drawing is given up.
+GROWS, GIVE_UP = 8, 200
+
 
 def luhn(digits: str) -> bool:
     doubled = [int(d) for d in digits]
@@ -141,10 +146,10 @@ def _shaped(text: str, draw: Stream) -> str:
     return "".join(str(draw.below(10)) if c.isdigit() else "abcdefghijklmnopqrstuvwxyz"[draw.below(26)] if c.isalpha() else c for c in text)
 
 
-def _made_name(kind: str, form: str, draw: Stream) -> str:
+def _made_name(kind: str, form: str, draw: Stream, turn: int) -> str:
     gender, _, name = form.rpartition(":")
     consonants, vowels = SYLLABLES[script(name)]
-    size = max(2, len(name) // 2) + (kind == "family")
+    size = max(2, len(name) // 2) + (kind == "family") + turn
     word = "".join(consonants[draw.below(len(consonants))] + vowels[draw.below(len(vowels))] for _ in range(size))
     if gender == "f":
         return word[:-1] + vowels[0]
@@ -158,7 +163,7 @@ def stand_in(key: bytes, kind: str, form: str, turn: int) -> str:
         local, _, domain = form.partition("@")
         host, _, top = domain.rpartition(".")
         # one domain has one stand-in, so addresses that share it still do
-        return f"{_shaped(local, draw)}@{_shaped(host, Stream(key, 'domain', domain))}.{top}"
+        return f"{_shaped(local + 'x' * turn, draw)}@{_shaped(host, Stream(key, 'domain', domain))}.{top}"
     if kind == "card":
         body = form[0] + "".join(str(draw.below(10)) for _ in form[2:])
         return next(body + c for c in "0123456789" if luhn(body + c))
@@ -168,9 +173,10 @@ def stand_in(key: bytes, kind: str, form: str, turn: int) -> str:
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind in ("given", "family"):
-        return _made_name(kind, form, draw)
-    # phone and social security numbers keep their length and first digit
-    return form[0] + "".join(str(draw.below(10)) for _ in form[1:])
+        return _made_name(kind, form, draw, turn)
+    # phone and social security numbers keep their first digit and, short of many redraws, their length
+    more = turn // GROWS if kind == "phone" else 0
+    return form[0] + "".join(str(draw.below(10)) for _ in range(len(form) - 1 + more))
 
 
 def dressed(mention: str, kind: str, stand: str) -> str:
@@ -220,7 +226,7 @@ def assigned(found: DataFrame, key: bytes) -> DataFrame:
 
     # a given name's true value has no gender
     true = values.select(F.col("kind").alias("kind"), F.regexp_replace("form", "^[fmn]:", "").alias("stand")).distinct()
-    settled = None
+    settled, turn = None, 0
     waiting = values
     while True:
         drawn = staged(waiting.select("kind", "form", "turn").mapInArrow(draw, "kind string, form string, turn int, stand string"), "pii-drawn")
@@ -233,6 +239,9 @@ def assigned(found: DataFrame, key: bytes) -> DataFrame:
         waiting = drawn.join(good, ["kind", "form"], "left_anti").withColumn("turn", F.col("turn") + 1)
         if waiting.isEmpty():
             return settled.select("kind", "form", "stand")
+        turn += 1
+        if turn > GIVE_UP:
+            raise RuntimeError(f"no stand-in is left for {waiting.first()['kind']} values after {turn} draws")
 
 
 def pseudonymise(documents: DataFrame, key: bytes, text: str = "text") -> DataFrame:

@@ -489,3 +489,20 @@ def test_surrogates_are_distinct(spark, monkeypatch):
     found = surrogates.assigned(values.union(values), b"k").collect()
     assert len({r["stand"] for r in found}) == len(found) == 40
     assert not {r["stand"] for r in found} & {str(i) for i in range(40)}
+
+
+def test_small_pools_of_surrogates_grow(spark):
+    short = [("given", f"f:{a}{b}{c}a") for a in "bcdfghjk" for b in "aeiouy" for c in "bcdfghjklmnpqrst"][:700]
+    mails = [("email", f"{c}@{host}.com") for c in "_123456789" for host in "ab"] + [("email", "-@-.com")]
+    found = surrogates.assigned(spark.createDataFrame(short + mails, "kind string, form string"), b"k").collect()
+    assert len(found) == len({(r["kind"], r["stand"]) for r in found}) == 721
+    assert not {r["stand"] for r in found} & {form.removeprefix("f:") for _, form in short + mails}
+    assert all(r["stand"].endswith("a") for r in found if r["kind"] == "given")
+    assert all(surrogates.PATTERNS["email"].fullmatch(r["stand"]) for r in found if r["kind"] == "email")
+
+
+def test_drawing_stand_ins_ends(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "stand_in", lambda key, kind, form, turn: "1")
+    monkeypatch.setattr(surrogates, "GIVE_UP", 3)
+    with pytest.raises(RuntimeError, match="ssn"):
+        surrogates.assigned(spark.createDataFrame([("ssn", "2"), ("ssn", "3")], "kind string, form string"), b"k")
