@@ -1,7 +1,8 @@
 """PII surrogates: every detected entity is replaced by a keyed stand-in of its own type.
 
 E-mail addresses, phone and card numbers, IPv4 addresses, social security numbers, IBANs and names are found in whole
-texts. An entity's stand-in comes from an HMAC of its type and its normal form, so one person or number has one
+texts. A title or a listed given name tells a name, which is all capitalised words that follow; every other mention of
+these words in the text is then replaced too. An entity's stand-in comes from an HMAC of its type and its normal form, so one person or number has one
 stand-in throughout the corpus (coreference), however it is spelled; shape, separators, letter case, script and, for
 given names, gender are kept, and check digits hold. Stand-ins are checked over the corpus: where two values met on
 one stand-in, or a stand-in is some other entity's true value, all but the least value draw again (distinctness). Names
@@ -45,7 +46,18 @@ SYLLABLES = {
     "greek": (list("βγδκλμνπρστφ"), list("αειο")),
 }
 
-_NAME = r"[^\W\d_][^\W\d_]+(?:[-'’][^\W\d_]+)?"
+# Words that end a name of two words or more even if capitalised, and whose other mentions are no names.
+NO_NAMES = frozenset(
+    "a an and are as at but by for from had has have he her his i if in is it its my no not of on or our she so that the their then there they this to was"
+    " we were what when where which who will with you your aber als am an auf aus bei das dem den der des die ein eine er es für hat ich ihr im ist mit nach"
+    " nicht sie sind und uns vom von vor war was wir wo zu zum zur au aux avec ce cette dans de des du elle elles en est et il ils je la le les leur lui mais"
+    " ne nous ou où par pas pour qui sa se ses son sur un une vous al como con del el ella ellos era es esta este la las lo los más mi muy o para pero por que"
+    " se sin su sus un una y ya и в во на не он она они с со что это как но по к у из за от до мы вы я ο η το οι τα και σε με για από του της των στο στη στην".split()
+)
+# Words of names that aren't capitalised.
+PARTICLES = frozenset("van von der den de del della di da dos du la le las los bin ibn ter ten zu zur".split())
+
+_NAME = r"[^\W\d_](?:[^\W\d_]|[-'’](?=[^\W\d_]))+"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _KNOWN = "|".join(sorted((g for gs in GIVEN.values() for g in gs), key=len, reverse=True))
 PATTERNS = {
@@ -54,10 +66,21 @@ PATTERNS = {
     "card": re.compile(r"(?<![\w+.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
-    "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<![\w.])\+\d{9,14}(?!\w)"),
+    # whole runs of groups; _phone tells which are numbers to call, PHONE_IN finds such inside runs that are too long
+    "phone": re.compile(r"(?<![\w.+-])(?:\+|\(\+?)?\d+(?:(?:\) ?[-./]?|[ .-]\(?| ?/ ?|\()\d+)*(?![\w-])"),
 }
-TITLED = re.compile(rf"(?<!\w)({_TITLE})\.? +({_NAME})(?: +({_NAME}))?")
-FULL = re.compile(rf"(?<!\w)({_KNOWN}) +({_NAME})")
+PHONE_IN = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<![\w.])\+\d{9,14}(?!\w)")
+# Digits in groups that are no number to call: a date with or without its hour, two years, one decimal number.
+_DAY, _MONTH, _YEAR = r"(?:0?[1-9]|[12]\d|3[01])", r"(?:0?[1-9]|1[0-2])", r"(?:1[5-9]|20)\d\d"
+NO_PHONE = re.compile(
+    rf"(?:{_YEAR}([-./ ]){_MONTH}\1{_DAY}|{_DAY}([-./ ]){_MONTH}\2{_YEAR}|{_MONTH}([-./ ]){_DAY}\3{_YEAR})(?: \d\d?(?:\.\d\d)?)?|{_YEAR} ?[-/ ] ?{_YEAR}|\d+\.\d+(?:[ /-]+\d+(?:\.\d+)?)*"
+)
+TITLED = re.compile(rf"(?<!\w)({_TITLE})\.? +(?=[^\W\d_])")
+FULL = re.compile(rf"(?<!\w)({_KNOWN})(?:-[^\W\d_]+)* +(?=[^\W\d_])")
+WORD, PART = re.compile(_NAME), re.compile(r"[^-'’]+")
+# What may stand between the words of a name: blanks, and initials, which stay.
+INITIALS = re.compile(r"(?:[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ]\.? +)*")
+BETWEEN = re.compile(rf" +{INITIALS.pattern}")
 GENDER = {g: s for s, gs in GIVEN.items() for g in gs}
 ADDRESS = {t: s for s, ts in TITLES.items() for t in ts}
 _DIGIT = re.compile(r"[0-9]")
@@ -82,8 +105,74 @@ def script(name: str) -> str:
     return "cyrillic" if "а" <= first <= "ё" else "greek" if "ά" <= first <= "ώ" else "latin"
 
 
-def _is_name(word: str | None) -> bool:
-    return bool(word) and word[0].isupper() and (word[1:].islower() or word.isupper() or "-" in word or "'" in word or "’" in word)
+def _bare(text: str, start: int, stop: int) -> int:
+    """Where a word ends without an 's."""
+    return stop - 2 if text[stop - 2 : stop] in ("'s", "’s") and stop - start > 3 else stop
+
+
+def _names_from(text: str, at: int) -> list[tuple[int, int]]:
+    """The words of a name that begins at a place: all capitalised words in a row, over initials and particles."""
+    words: list[tuple[int, int]] = []
+    gap = INITIALS.match(text, at)
+    while gap:
+        word = WORD.match(text, gap.end())
+        while word and word[0] in PARTICLES and (gap := BETWEEN.match(text, word.end())):
+            word = WORD.match(text, gap.end())
+        if not word or not word[0][0].isupper() or (len(words) > 1 and word[0].lower() in NO_NAMES):
+            break
+        words.append((word.start(), _bare(text, *word.span())))
+        gap = BETWEEN.match(text, words[-1][1])
+    return words
+
+
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """Names by their places: those a title or a listed given name tells, then every other mention of their words."""
+    runs: list[tuple[list[tuple[int, int]], str]] = []
+    inside: set[int] = set()
+    for m in TITLED.finditer(text):
+        if m.start() not in inside:
+            words = _names_from(text, m.end())
+            runs.append((words, ADDRESS[m[1]]))
+            inside.update(start for start, _ in words)
+    for m in FULL.finditer(text):
+        if m.start() not in inside:
+            words = _names_from(text, m.start())
+            if len(words) > 1:
+                runs.append((words, GENDER[m[1]]))
+                inside.update(start for start, _ in words)
+    known: dict[str, tuple[str, str]] = {}
+    found: dict[int, tuple[int, int, str, str]] = {}
+    # full names first: they tell what a single word is
+    for words, gender in sorted(runs, key=lambda run: (len(run[0]) < 2, run[0])):
+        for k, (start, stop) in enumerate(words):
+            low = text[start:stop].lower()
+            listed = GENDER.get(low.split("-")[0].capitalize())
+            if len(words) > 1 and (k == 0 or (listed and k < len(words) - 1)):
+                what = ("given", f"{listed or gender}:{low}")
+            else:
+                what = ("family", low) if len(words) > 1 else known.get(low, ("family", low))
+            found.setdefault(start, (start, stop, *what))
+            if low not in NO_NAMES:
+                known.setdefault(low, what)
+    for m in WORD.finditer(text) if known else ():
+        start, stop = m.start(), _bare(text, *m.span())
+        if start in found:
+            continue
+        spans = [(start, stop)]
+        if text[start:stop].lower() not in known:
+            spans = [(start + part.start(), start + part.end()) for part in PART.finditer(text[start:stop])]
+        for start, stop in spans:
+            what = known.get(text[start:stop].lower())
+            if what and text[start].isupper():
+                found.setdefault(start, (start, stop, *what))
+    return sorted(found.values())
+
+
+def _phone(run: str) -> bool:
+    """Whether a run of digit groups is a number to call: 8 to 15 digits, in groups or with a prefix."""
+    digits = sum(c.isdigit() for c in run)
+    grouped = any(not c.isdigit() for c in run)
+    return 8 <= digits <= 15 and (grouped or run.startswith("00") or (run[0] == "0" and 10 <= digits <= 11)) and not NO_PHONE.fullmatch(run)
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -108,22 +197,18 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             digits = re.sub(r"\D", "", m[0])
             if luhn(digits):
                 take(m.start(), m.end(), "card", digits)
-        for kind in ("ssn", "ip", "phone"):
-            for m in PATTERNS[kind].finditer(text):
-                take(m.start(), m.end(), kind, str(ipaddress.ip_address(".".join(str(int(x)) for x in m[0].split(".")))) if kind == "ip" else re.sub(r"\D", "", m[0]))
-    for m in TITLED.finditer(text):
-        gender, first, second = ADDRESS[m[1]], m[2], m[3]
-        if not _is_name(first):
-            continue
-        if _is_name(second):
-            take(m.start(2), m.end(2), "given", f"{GENDER.get(first, gender)}:{first.lower()}")
-            take(m.start(3), m.end(3), "family", second.lower())
-        else:
-            take(m.start(2), m.end(2), "family", first.lower())
-    for m in FULL.finditer(text):
-        if _is_name(m[2]):
-            take(m.start(1), m.end(1), "given", f"{GENDER[m[1]]}:{m[1].lower()}")
-            take(m.start(2), m.end(2), "family", m[2].lower())
+        for m in PATTERNS["ssn"].finditer(text):
+            take(m.start(), m.end(), "ssn", re.sub(r"\D", "", m[0]))
+        for m in PATTERNS["ip"].finditer(text):
+            take(m.start(), m.end(), "ip", str(ipaddress.ip_address(".".join(str(int(x)) for x in m[0].split(".")))))
+        for m in PATTERNS["phone"].finditer(text):
+            if _phone(m[0]):
+                take(m.start(), m.end(), "phone", re.sub(r"\D", "", m[0]))
+        # what the run missed: numbers in longer runs, or beside another entity
+        for m in PHONE_IN.finditer(text):
+            take(m.start(), m.end(), "phone", re.sub(r"\D", "", m[0]))
+    for entity in _names(text):
+        take(*entity)
     return sorted(found)
 
 

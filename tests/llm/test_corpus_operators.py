@@ -483,6 +483,46 @@ def test_surrogates_keep_type_and_coreference(documents_of, odd, none):
     assert surrogates.pseudonymise(none, b"k").count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "secrets"),
+    [
+        ("Smith came. Mr John Smith sat. Then Smith's wife and SMITH went, and John too.", "smith john"),
+        ("Anna Maria Schmidt, later Anna Schmidt-Weber; l'Anna.", "anna maria schmidt"),
+        ("Mr John Fitzgerald Smith and Mrs O'Brien. An O'Brien and Fitzgerald.", "john fitzgerald smith o'brien"),
+        ("Herr Ludwig van Beethoven, Dr J. F. McDonald, Jean-Pierre Dupont, Dr No. Beethoven!", "ludwig beethoven mcdonald jean-pierre dupont no."),
+    ],
+)
+def test_all_words_and_mentions_of_a_name_go(text, secrets):
+    left, stop = [], 0
+    for start, end, _, _ in surrogates.find(text):
+        left.append(text[stop:start])
+        stop = end
+    left = "".join([*left, text[stop:]]).lower()
+    assert not [s for s in secrets.split() if s in left]
+    forms = {}
+    for start, end, kind, form in surrogates.find(text):
+        assert forms.setdefault(text[start:end].lower(), (kind, form)) == (kind, form)
+
+
+def test_capitalised_words_beside_names_stay():
+    text = "Mr John Smith On Monday saw The Times. The man y Barcelona; Mr Smith a Man."
+    assert [text[a:b] for a, b, _, _ in surrogates.find(text)] == ["John", "Smith", "Smith"]
+    assert len(surrogates.find("John " * 20_000)) == 20_000
+
+
+@pytest.mark.parametrize(
+    "number",
+    ["06 12 34 56 78", "+33 6 12 34 56 78", "+34 912 34 56 78", "612 34 56 78", "06.12.34.56.78", "030/123456", "+49 (0)30 123456", "0612345678", "+1 (955) 555-8761", "1 23 456 7890 12"],
+)
+def test_phone_numbers_of_any_grouping(number):
+    assert surrogates.find(f"call {number}, now") == [(5, 5 + len(number), "phone", re.sub(r"\D", "", number))]
+
+
+@pytest.mark.parametrize("number", ["2024-01-15", "15.01.2024 10", "1990-1995", "3.14159265", "52.5200 13.4050", "1700000000", "1 2 3", "4529603461135147"])
+def test_other_numbers_are_no_phones(number):
+    assert surrogates.find(f"on {number}, now") == []
+
+
 def test_surrogates_are_distinct(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "stand_in", lambda key, kind, form, turn: str(surrogates.Stream(key, form, str(turn)).below(150)))
     values = spark.createDataFrame([("phone", str(i)) for i in range(40)], "kind string, form string")
