@@ -8,9 +8,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ionloom.session import checkpoint_dir
+
 # fixed values of the cohort script
 TREES, TOP_FEATURES = 100, 10
 BOOST_ROUNDS, BOOST_STEP, BOOST_DEPTH, CUT = 210, 0.01, 5, 0.5
+CHECKPOINT_ROUNDS = 10  # rounds after which boosting cuts its lineage
 SEED = 123
 
 
@@ -42,7 +45,10 @@ def boosted_trees(
 
     Trees grow level by level here, not leaf by leaf.
     """
-    boost = GBTClassifier(labelCol=label, maxIter=rounds, stepSize=step, maxDepth=depth, seed=SEED)
+    checkpoint_dir(train.sparkSession)  # without a folder nothing is checkpointed
+    boost = GBTClassifier(
+        labelCol=label, maxIter=rounds, stepSize=step, maxDepth=depth, seed=SEED, checkpointInterval=CHECKPOINT_ROUNDS
+    )
     return boost.fit(_assembled(train, features))
 
 

@@ -309,9 +309,9 @@ def forest_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("boosted_confusion")
 def boosted_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, names = _labelled(spark, sf_dir)
-    # one cohort trains, the other is told apart; fewer rounds than the cohort script uses, which sets the default
+    # one cohort trains, the other is told apart
     discovery, validation = rows.where("sample % 2 = 0"), rows.where("sample % 2 = 1")
-    model = classify.boosted_trees(discovery, names, rounds=10, step=0.1)
+    model = classify.boosted_trees(discovery, names)
     return cohort.confusion(classify.classify(validation, model, names), "label", "predicted")
 
 

@@ -71,3 +71,14 @@ def test_workers_need_no_installed_package(tmp_path):
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert done.stdout.split()[-1:] == ["3"], done.stderr[-2000:]
+
+
+def test_boosted_query_trains_all_rounds(spark, monkeypatch):
+    from ionloom.operators import classify
+    from ionloom.plans.catalogue import QUERIES
+
+    asked, real = [], classify.GBTClassifier
+    monkeypatch.setattr(classify, "GBTClassifier", lambda **settings: asked.append(settings) or real(**{**settings, "maxIter": 1}))
+    QUERIES["boosted_confusion"](spark, "/root/testdata/sf0.001")
+    assert [(s["maxIter"], s["stepSize"], s["maxDepth"]) for s in asked] == [(210, 0.01, 5)]
+    assert spark.sparkContext.getCheckpointDir() and asked[0]["checkpointInterval"] > 0
