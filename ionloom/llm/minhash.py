@@ -1,8 +1,9 @@
 """Near-duplicate texts by b-bit MinHash over word shingles.
 
 Every text is sketched once: 256 minima of its shingle hashes. Bands of four minima give candidates; the two low
-bits of each minimum, packed into eight longs, give a similarity estimate from bit counts, corrected for chance
-collisions. Estimates far below the threshold drop a candidate, and so does a bound that can't err: cells of hashes with unlike
+bits of each minimum, mixed anew for each hash function and packed into eight longs, give a similarity estimate from bit counts,
+corrected for chance collisions. Estimates far below the threshold drop a candidate unless one of its sets is small, where the
+exact check costs next to nothing; so does, for all sizes, a bound that can't err: cells of hashes with unlike
 parities count no more than the sets' difference. Every link is confirmed on full shingle sets.
 
 Texts with equal sets form a class first. In a band's bucket every class is compared with one class of the
@@ -32,6 +33,7 @@ HASHES, ROWS, BANDS, BITS = 256, 4, 32, 2
 LANES = 64 // BITS
 CELLS = 1024
 MARGIN = 0.165  # five and a half standard errors of the estimate at a similarity of 0.8
+SMALL = 64  # shingles below which the estimate is not asked
 RANDOM_ROUNDS = 1
 
 _factors = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -55,8 +57,8 @@ def bands_of(least: np.ndarray) -> np.ndarray:
 
 
 def packed(least: np.ndarray) -> np.ndarray:
-    """The low bits of all minima, side by side."""
-    low = (least & np.uint64((1 << BITS) - 1)).reshape(-1, LANES)
+    """Low bits of all minima, side by side; mixed, since a product's low bits are the same function of a shingle's in all hashes."""
+    low = (mix(least ^ _factors) & np.uint64((1 << BITS) - 1)).reshape(-1, LANES)
     return (low << (np.arange(LANES, dtype=np.uint64) * np.uint64(BITS))).sum(1, dtype=np.uint64).view(np.int64)
 
 
@@ -140,7 +142,8 @@ def likely(percent: int) -> Column:
     """Pairs whose sizes and differences allow the similarity and whose estimate doesn't rule it out."""
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     apart = least_difference("bits_a", "bits_b") * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    return (least * 100 >= most * percent) & apart & (estimate("bits_a", "bits_b") >= percent / 100 - MARGIN)
+    close = (least < SMALL) | (estimate("bits_a", "bits_b") >= percent / 100 - MARGIN)
+    return (least * 100 >= most * percent) & apart & close
 
 
 def with_sketch(pairs: DataFrame, classes: DataFrame, sides: str = "ab") -> DataFrame:

@@ -255,6 +255,21 @@ def test_bounds_never_rule_out_a_link():
         assert minhash.set_digest(a) == minhash.set_digest(a[::-1])
 
 
+def test_no_small_boundary_pair_is_lost(spark):
+    draw = np.random.default_rng(1)
+    rows, unequal, pairs = [], 0, 20_000
+    for _ in range(pairs):
+        both = draw.integers(0, 2**64, 5, dtype=np.uint64)
+        sides = [minhash.minima(both[:4]), minhash.minima(both)]
+        bits = [np.concatenate([minhash.packed(m), minhash.parity(s)]) for m, s in zip(sides, (both[:4], both), strict=True)]
+        rows.append((4, 5, *(b.tolist() for b in bits)))
+        assert (minhash.bands_of(sides[0]) == minhash.bands_of(sides[1])).any()
+    frame = spark.createDataFrame(rows, "n_a long, n_b long, bits_a array<long>, bits_b array<long>")
+    assert frame.where(minhash.likely(80)).count() == pairs
+    # the estimate alone would have kept them too
+    assert frame.where(minhash.estimate("bits_a", "bits_b") < 0.8 - minhash.MARGIN).count() == 0
+
+
 # --- 5 packing
 
 
