@@ -177,6 +177,11 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = 10, k: i
 
 
 def drop_contaminated(documents: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
-    """The documents that share no window with an item; rows that share a ``doc_id`` go or stay together."""
-    gone = contamination(documents, items, window, k).where("contaminated").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
+    """The documents that share no window with an item; rows that share a ``doc_id`` go or stay together.
+
+    Of rows without a ``doc_id`` each goes or stays by its own text.
+    """
+    row = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.concat(F.lit("text "), F.sha2("text", 256)))
+    found = contamination(documents.select(row.alias("doc_id"), "text"), items, window, k)
+    gone = found.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
+    return documents.join(gone, row == F.col("__gone"), "left_anti")

@@ -472,6 +472,15 @@ def test_near_vectors(spark, block, monkeypatch):
     assert vectors.near_vectors(table.limit(0)).count() == 0
 
 
+def test_contaminated_rows_without_id_go(spark, documents_of):
+    passage = " ".join(f"p{k}" for k in range(12))
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    docs = documents_of([(None, f"a {passage} b"), (None, "clean words"), (None, None), (1, passage), (1, "shares its id"), (2, "clean")])
+    left = decontaminate.drop_contaminated(docs, items)
+    assert left.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in left.collect()) == [("2", "clean"), ("None", "None"), ("None", "clean words")]
+
+
 # --- 10 surrogates
 
 PRIVATE = "Mail Bob.Smith@Example.COM or +1 (955) 555-8761, card 4533-8642-6209-0449 = 4533864262090449, ip 84.251.36.42. Mr. John Smith met Frau Müller and Anna SMITH; Иван Сидоров; GB82 WEST 1234 5698 7654 32."
