@@ -108,6 +108,22 @@ def _page_record(fields: dict[str, str], block: bytes) -> tuple:
     return fields["WARC-Record-ID"], None if page is None else int(page), size, digest, fields["WARC-Type"], fields.get("WARC-Refers-To"), fields.get("WARC-Target-URI"), payload
 
 
+def unpacked(content: bytes) -> bytes:
+    """All members of a gzip file, one after the other; zeros after the last are padding."""
+    parts, at, view, padding = [], 0, memoryview(content), len(content.rstrip(b"\0"))
+    while at < padding:
+        member = zlib.decompressobj(wbits=31)
+        # in steps, so that what follows a member is not copied once for each
+        while not member.eof:
+            if at >= len(content):
+                raise ValueError("the archive is cut short")
+            parts.append(member.decompress(view[at : at + STEP]))
+            at = min(at + STEP, len(content)) - len(member.unused_data)
+    return b"".join(parts)
+
+
+STEP = 1 << 14  # bytes of an archive that are unpacked at once
+
 COLUMNS = ["record_id", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to_record", "url", "payload"]
 
 
@@ -120,8 +136,7 @@ def read_archives(spark: SparkSession, folder: str, payload: bool = False) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                unpacked = zlib.decompress(content.as_py(), wbits=31)
-                rows = [_page_record(*r)[: len(names)] for r in parse(unpacked)]
+                rows = [_page_record(*r)[: len(names)] for r in parse(unpacked(content.as_py()))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 

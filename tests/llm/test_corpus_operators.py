@@ -354,6 +354,21 @@ def test_archives(spark):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_archives_of_one_member_per_record_are_read(spark, tmp_path):
+    pages = [(i, f"http://x/{i}", f"page {i} " * 30) for i in range(5)]
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/own")
+    text = b"".join(warc.unpacked(f.read_bytes()) for f in sorted((tmp_path / "own").glob("*.gz")))
+    cuts = [*(m.start() for m in re.finditer(rb"WARC/1\.1\r\n", text)), len(text)]
+    assert len(cuts) == 6
+    members = b"".join(gzip.compress(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "a.warc.gz").write_bytes(members)
+    found = warc.read_archives(spark, f"file://{tmp_path}/other", payload=True).collect()
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in found) == [(i, html) for i, _, html in pages]
+    with pytest.raises(ValueError, match="cut short"):
+        warc.unpacked(members[:-4])
+
+
 def test_broken_archives_are_refused():
     block = b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"
     with pytest.raises(ValueError):
