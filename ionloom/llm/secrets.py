@@ -76,14 +76,18 @@ def ownership(spans: DataFrame) -> DataFrame:
     return per_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def scan(documents: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = 1) -> DataFrame:
+def scan(documents: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = 1, most_repositories: int | None = None) -> DataFrame:
     """One row per document with its spans: structs of start, rank, kind, stop, n_owners, n_repos and live.
 
-    A span is live if at most ``most_owners`` owners hold its value. Base kinds are always kept, others only if live.
+    A span is live if at most ``most_owners`` owners hold its value and, where a bound is given, at most
+    ``most_repositories`` repositories do. Base kinds are always kept, others only if live.
     """
     rows, spans = candidates(documents, owner, repository)
     spans = staged(spans, "secret-spans")
-    known = spans.join(ownership(spans), "hash").withColumn("live", F.col("n_owners") <= most_owners)
+    live = F.col("n_owners") <= most_owners
+    if most_repositories is not None:
+        live &= F.col("n_repos") <= most_repositories
+    known = spans.join(ownership(spans), "hash").withColumn("live", live)
     known = known.where(F.col("live") | F.col("kind").isin(*BASE))
     per_row = known.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "stop", "n_owners", "n_repos", "live"))).alias("spans"))
     return rows.join(per_row, "row", "left").select("doc_id", F.coalesce("spans", F.array().cast(per_row.schema["spans"].dataType)).alias("spans"))

@@ -100,6 +100,14 @@ def test_copied_values_are_told_from_owned_ones(documents_of):
     assert found[10] == []
 
 
+def test_values_in_many_repositories_of_one_owner_are_copied(documents_of):
+    copied, owned = "Qw3rTyUiOpAsDfGhJkLz", "Zx9cVbNmAsDfGhJkLqWe"
+    docs = documents_of([(i, f"{copied} password=abcdefabcdef1", "en", "hot") for i in range(5)] + [(9, f"{owned} password=zyxwvutsrqp12", "en", "hot")])
+    found = {r["doc_id"]: [(s["kind"], s["live"], s["n_repos"]) for s in r["spans"]] for r in secrets.scan(docs, most_repositories=3).collect()}
+    assert found[0] == [("assign", False, 5)] and found[9] == [("owned", True, 1), ("assign", True, 1)]
+    assert len({r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}[0]) == 2
+
+
 # --- 2 toxicity
 
 
