@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import decontaminate, langid, linededup, minhash, packing, secrets, surrogates, toxicity, vectors, warc
+from ionloom.llm import conversations, decontaminate, langid, linededup, minhash, packing, secrets, surrogates, toxicity, vectors, warc
 from ionloom.llm.common import shared_folder
 from ionloom.session import tune
 
@@ -197,3 +197,49 @@ def op10_pii_surrogates(spark, sf_dir):
     found = surrogates.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
     counts = (F.coalesce(F.col("entities")[kind], F.lit(0).cast("long")).alias(f"n_{kind}") for kind in surrogates.KINDS)
     return found.select("doc_id", "text", *counts)
+
+
+@query(
+    "op11_conversation_repair",
+    r"""
+    WITH RECURSIVE
+    keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ord(c) AS BIGINT)) AS bytes
+        FROM conversations),
+    told AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, b:
+        list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS f FROM keyed),
+    after AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM told, range(CASE WHEN f = 0 THEN 0 WHEN f = 3 THEN 2 ELSE 1 END)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+        rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM after),
+    judged AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+        WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS i,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM placed),
+    inserts AS (SELECT * FROM (VALUES (0, 0, 0, ''), (0, 1, 2, 'u'), (0, 2, 3, 'ua'), (1, 0, 1, ''), (1, 1, 2, 'u'), (1, 2, 3, 'ua'),
+        (2, 0, 2, ''), (2, 1, 3, 'a'), (2, 2, 2, 'au'), (3, 0, 3, ''), (3, 1, 2, 'u'), (3, 2, 3, 'ua')) AS v(state, k, spot, made)),
+    moves AS (SELECT state, k, made, spot AS next, 'D' AS op, '' AS needs, '' AS role FROM inserts
+        UNION ALL SELECT state, k, made, CASE WHEN spot = 2 THEN 3 ELSE 2 END, 'R', '', CASE WHEN spot = 2 THEN 'assistant' ELSE 'user' END FROM inserts
+        UNION ALL SELECT state, k, made, next, 'K', needs, '' FROM inserts JOIN (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) AS v(spot, needs, next) USING (spot)),
+    path AS (
+        SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, 0 AS state, {'cost': CAST(0 AS BIGINT), 'audit': '', 'made': ''} AS best FROM after
+        UNION ALL
+        SELECT p.conv_id, p.n + 1, m.next, min({'cost': p.best.cost + 3 * m.k + CASE m.op WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN m.op <> 'D' AND r.fault = 'truncated' THEN 3 ELSE 0 END,
+            'audit': p.best.audit || repeat('I', m.k) || m.op,
+            'made': p.best.made || replace(replace(m.made, 'a', chr(10) || 'assistant:'), 'u', chr(10) || 'user:') || CASE m.op WHEN 'D' THEN '' WHEN 'R' THEN chr(10) || m.role || ':' || r.text ELSE chr(10) || r.role || ':' || r.text END})
+        FROM path p JOIN judged r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.n = p.n + 1
+            JOIN moves m ON m.state = p.state AND (m.op = 'D' OR (r.fault NOT IN ('blank', 'duplicate') AND (m.op = 'R' OR m.needs = r.i)))
+        GROUP BY p.conv_id, p.n, m.next),
+    counted AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+    ended AS (SELECT p.conv_id, min({'cost': p.best.cost + 3 * length(t.made), 'audit': p.best.audit || repeat('I', length(t.made)),
+            'made': p.best.made || replace(replace(t.made, 'a', chr(10) || 'assistant:'), 'u', chr(10) || 'user:')}) AS best
+        FROM path p JOIN counted c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.n JOIN (VALUES (0, ''), (1, 'ua'), (2, 'a'), (3, '')) AS t(state, made) ON t.state = p.state GROUP BY p.conv_id)
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+        coalesce(e.best.cost, 0) AS cost, coalesce(e.best.audit, '') AS audit, sha256(coalesce(substr(e.best.made, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
+)
+def op11_conversation_repair(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations")
+    return conversations.digests(conversations.damaged(turns), turns)
