@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import conversations, decontaminate, langid, linededup, minhash, packing, secrets, surrogates, toxicity, vectors, warc
+from ionloom.llm import conversations, decontaminate, langid, linededup, minhash, negatives, packing, secrets, surrogates, toxicity, vectors, warc
 from ionloom.llm.common import shared_folder
 from ionloom.session import tune
 
@@ -243,3 +243,24 @@ def op10_pii_surrogates(spark, sf_dir):
 def op11_conversation_repair(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations")
     return conversations.digests(conversations.damaged(turns), turns)
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    met AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+        FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+    positive AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM met WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positive JOIN met USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+    """,
+)
+def op12_hard_negatives(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
