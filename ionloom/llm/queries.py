@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import conversations, decontaminate, langid, linededup, minhash, negatives, packing, secrets, surrogates, toxicity, vectors, warc
+from ionloom.llm import conversations, cutting, decontaminate, langid, linededup, minhash, negatives, packing, secrets, surrogates, toxicity, vectors, warc
 from ionloom.llm.common import shared_folder
 from ionloom.session import tune
 
@@ -100,11 +100,11 @@ def op7_benchmark_decontamination(spark, sf_dir):
     )
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file of the packing query, read where it is installed."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary file of the packing queries, read where it is installed."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op5_best_fit_packing")
@@ -264,3 +264,8 @@ def op12_hard_negatives(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_cutting_stock_packing")
+def op13_cutting_stock_packing(spark, sf_dir):
+    return cutting.pack(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
