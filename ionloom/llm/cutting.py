@@ -361,7 +361,8 @@ def segments(pieces: DataFrame, layout: Layout) -> DataFrame:
 def checksums(cut: DataFrame, tokens: DataFrame) -> DataFrame:
     """``ids_crc32`` of the segments cut anew, from the ids of their documents."""
     fields = ["start", "length", "sequence_id", "offset"]
-    wanted = cut.groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("parts"), F.first("doc_tokens").alias("doc_tokens"))
+    # written first: where few documents are cut, the size of the files lets the join leave all other ids in place
+    wanted = staged(cut.groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("parts"), F.first("doc_tokens").alias("doc_tokens")), "cut-documents")
     joined = tokens.join(wanted, "row").select("doc_id", "doc_tokens", "ids", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
