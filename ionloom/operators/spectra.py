@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.operators.groupstat import attach
+from ionloom.operators.groupstat import attach, match_keys
 from ionloom.operators.ordered import global_ordinal, running_total
 
 # largest array of one nested spectrum record
@@ -76,7 +76,8 @@ def build_spectra(rows: DataFrame, first_seen: bool = False) -> tuple[DataFrame,
     spectra = attach(numbered, ["file"], _start=F.min("sid")).select(
         "sid", *keys, (F.col("sid") - F.col("_start") + 1).alias("num")
     )
-    peaks = rows.join(numbered.select("sid", *keys), keys).select(
+    # a scan without a time or a precursor is a spectrum of its own
+    peaks = match_keys(rows, numbered.select("sid", *keys), keys).select(
         "sid", F.col("row_id").alias("scan_no"), "mz", "intensity"
     )
     return spectra, peaks
