@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -521,7 +522,8 @@ def test_surrogates_keep_type_and_coreference(documents_of, odd, none):
     iban = re.search(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", text)[0].replace(" ", "")
     assert surrogates.iban_rest(iban) == 1
     assert re.search(r"\+1|\+\d", text) and re.search(r"[а-я]{3}", text)
-    mail = surrogates.PATTERNS["email"].findall(text)[0]
+    (start, stop), *_ = surrogates.mails(text)
+    mail = text[start:stop]
     assert mail.lower() in found[2]["text"] and mail.endswith(".COM")
     assert found[1]["entities"]["family"] == kinds.count("family") == 4
     assert found[3]["text"] == rows[2][1]
@@ -585,7 +587,7 @@ def test_small_pools_of_surrogates_grow(spark):
     assert len(found) == len({(r["kind"], r["stand"]) for r in found}) == 721
     assert not {r["stand"] for r in found} & {form.removeprefix("f:") for _, form in short + mails}
     assert all(r["stand"].endswith("a") for r in found if r["kind"] == "given")
-    assert all(surrogates.PATTERNS["email"].fullmatch(r["stand"]) for r in found if r["kind"] == "email")
+    assert all(surrogates.mails(r["stand"]) == [(0, len(r["stand"]))] for r in found if r["kind"] == "email")
 
 
 def test_drawing_stand_ins_ends(spark, monkeypatch):
@@ -593,3 +595,36 @@ def test_drawing_stand_ins_ends(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "GIVE_UP", 3)
     with pytest.raises(RuntimeError, match="ssn"):
         surrogates.assigned(spark.createDataFrame([("ssn", "2"), ("ssn", "3")], "kind string, form string"), b"k")
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.text(alphabet="aZ9.@-_ é", max_size=40))
+def test_mails_are_those_of_the_pattern(text):
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+    assert surrogates.mails(text) == [m.span() for m in pattern.finditer(text)]
+
+
+def test_long_unbroken_runs_take_time_in_proportion():
+    run = "0123456789abcdef" * 320_000
+    start = time.process_time()
+    assert surrogates.mails("me@x.org " + run + " @ " + run + "@" + run + " you@y.org") == [(0, 8), (len(run) * 3 + 14, len(run) * 3 + 23)]
+    assert time.process_time() - start < 30
+
+
+def test_one_long_page_leaves_other_files_alone(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    pages = [(i, f"http://x/{i}", f"page {i} " * 100) for i in range(40)] + [(40, "http://x/40", "long " * 300_000), (41, "http://x/41", "w" * 400_000)]
+    folder = shared_folder(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), folder)
+    assert spark.read.format("binaryFile").load(folder).count() <= 8
+    assert warc.read_archives(spark, folder).count() == 42
+
+
+def test_lines_count_documents_not_rows(documents_of):
+    line = "a line that is long enough to be a key of its own, once"
+    again = [(i, f"{line}\nown {i}") for i in (1, 2, 3, 4)] + [(4, f"other text\n{line}")]
+    assert {r["n_dropped"] for r in linededup.dedup_lines(documents_of(again)).collect()} == {0}
+    five = [*again, (5, line)]
+    assert sorted((r["doc_id"], r["n_dropped"]) for r in linededup.dedup_lines(documents_of(five)).collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (4, 1), (5, 0)]
+    nameless = [(i, line) for i in (1, 2, 3)] + [(None, line)] * 2
+    assert sum(r["n_dropped"] for r in linededup.dedup_lines(documents_of(nameless)).collect()) == 4
