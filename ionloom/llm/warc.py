@@ -2,8 +2,8 @@
 
 Revisit resolution: headers (id and digest, no payload) are shuffled by payload digest, pre-aggregated; of equal
 payloads the page with the smallest id is archived as a response and every other one as a revisit record that
-refers to it. Archives are plain WARC/1.1 in gzip, written by Spark's own writer to any file system it knows, a
-bounded number of records to a file. Reading them back parses every record by its length, checks each payload
+refers to it. Archives are plain WARC/1.1 in gzip, written by Spark's own writer to any file system it knows, cut by
+the bytes of their records. Reading them back parses every record by its length, checks each payload
 against its digest and joins revisits to the responses they refer to.
 
 Defined results: a null or empty page is a response with an empty payload. Payloads below ``least`` bytes are always
@@ -72,13 +72,35 @@ def records(pages: DataFrame, resolved: DataFrame, date: str) -> DataFrame:
     return joined.select(F.concat(lines, F.lit(CRLF * 2), block).alias("value"))
 
 
+def filled(rows: DataFrame, most: int) -> DataFrame:
+    """Records joined, in the order they come, to strings of about ``most`` bytes at most, or of one longer record."""
+    end = (CRLF * 2).encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.binary()).cast(pa.string())], names=["value"])
+
+        for part in batches:
+            for record in part.column(0).cast(pa.binary()).to_pylist():
+                if held and size + len(record) > most:
+                    yield batch()
+                    held, size = [], 0
+                held.append(record)
+                size += len(record) + len(end)
+        if held:
+            yield batch()
+
+    return rows.mapInArrow(run, "value string")
+
+
 def write_archives(pages: DataFrame, folder: str, least: int = 100, date: str = "2024-01-01T00:00:00Z", page: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Archive every page below ``folder``."""
     pages = pages.select(F.col(page).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
-    longest = pages.agg(F.max(F.octet_length("payload"))).first()[0] or 0
-    rows = records(pages, resolve(pages, least), date)
-    writer = rows.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES // (longest + 1024)))
-    writer.text(folder)
+    narrow_batches(pages.sparkSession)
+    rows = filled(records(pages, resolve(pages, least), date), FILE_BYTES)
+    rows.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 1).text(folder)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
