@@ -6,8 +6,8 @@ buckets, so nothing of the runs is moved), and what is new becomes a run of leve
 runs are merged into one run of the next level. Keys seen before go to a short list of repeats, whose counts
 are added to the runs' counts when frequent lines are asked for.
 
-Defined results: a null or empty text is one empty line. Every row counts as a document; rows that share a
-``doc_id`` all keep their lines where that ``doc_id`` is the holder. A null ``doc_id`` is a holder only if no
+Defined results: a null or empty text is one empty line. Rows that share a ``doc_id`` count as one document,
+each has a row of the result, and all keep their lines where that ``doc_id`` is the holder; rows without one count each. A null ``doc_id`` is a holder only if no
 other row has the line. Input columns that share a name with a result column are replaced; names that begin
 with two underscores are reserved.
 """
@@ -73,8 +73,10 @@ class LineRuns:
         return [name for level in self.levels for name in level]
 
     def add(self, lines: DataFrame) -> None:
-        """Take a batch of ``(doc_id, h1, h2)``, a key once per document, as a new run."""
-        batch = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder"))
+        """Take a batch of ``(doc_id, h1, h2)`` as a new run. All rows of a ``doc_id`` are in one batch and count as one document."""
+        own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without an id count each
+        once = lines.withColumn("row", own).dropDuplicates(["doc_id", "row", *KEY])
+        batch = once.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder"))
         incoming = self._write(batch)
         fresh, known = self.spark.table(incoming), []
         for name in self._runs():
