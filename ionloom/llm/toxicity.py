@@ -263,17 +263,21 @@ class Scorer:
             self.known |= dict(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        """Texts are taken together up to a segment; a longer text has its windows scored segment by segment."""
+        """Texts are taken together up to a segment; a longer text has its windows scored segment by segment.
+
+        Segments start on the grid of windows, so a long text has the windows it would have in one piece.
+        """
         scores, group, size = np.zeros(len(texts)), [], 0
+        step = max(SEGMENT // 8 // STRIDE, 1) * STRIDE
         for k, text in enumerate(texts):
             words = words_of(text) if text else []
             if not words:
                 continue
-            for at in range(0, max(len(words) - STRIDE, 1), SEGMENT // 8):  # segments share a window's words
-                part = words[at : at + SEGMENT // 8 + WINDOW]
+            for at in range(0, max(len(words) - WINDOW, 1), step):  # segments share a window's words
+                part = words[at : at + step + WINDOW]
                 group.append((k, part))
                 size += len(part)
-                if size >= SEGMENT // 8:
+                if size >= step:
                     self._score(group, scores)
                     group, size = [], 0
         if group:
