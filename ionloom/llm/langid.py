@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionloom.llm.common import blocks_of, extended, narrow_batches, string_bytes
@@ -155,26 +155,45 @@ def train(texts: list[str], labels: list[str], dim: int = 16, least_steps: int =
     return Model(languages, table.astype(np.float32), bias, float(temperature), threshold)
 
 
+def shares(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many of ``rows`` pieces each language gives: equal parts, what rare ones leave goes to the others."""
+    found, left = {}, rows
+    for k, (lang, count) in enumerate(sorted(counts.items(), key=lambda c: (c[1], c[0]))):
+        found[lang] = min(count, max(left // (len(counts) - k), 1))
+        left -= found[lang]
+    return found
+
+
 def pieces_for_training(documents: DataFrame, rows: int, width: int, text: str, label: str, order: Column) -> DataFrame:
-    """A bounded sample: ``rows`` pieces of ``width`` characters, from anywhere in the labelled texts, by hash."""
-    known = documents.select(F.col(label).alias("lang"), order.alias("o"), F.col(text).alias("t")).where("lang is not null")
-    have = known.select("lang").count()
+    """A bounded sample: ``rows`` pieces of ``width`` characters, from anywhere in the labelled texts, by hash.
+
+    Every language has its own share, so a rare one is learned however large the others are. With more
+    languages than ``rows``, each gives one piece.
+    """
+    known = documents.select(F.col(label).alias("lang"), order.alias("o"), F.col(text).alias("t")).where(F.col("lang").isNotNull() & F.col("t").rlike("\\p{L}"))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
+        return known.select(F.col("t").alias("piece"), "lang", F.xxhash64("o", "t").alias("o"))
     span = 1 << 31
-    limit = span if have <= 4 * rows else span * 4 * rows // have
+    quota = shares(counts, rows)
+    bounds = {lang: (span if counts[lang] <= 4 * part else span * 4 * part // counts[lang], part) for lang, part in quota.items()}
+    bound = F.create_map(*(F.lit(x) for lang, (limit, _) in bounds.items() for x in (lang, limit)))
+    most = F.create_map(*(F.lit(x) for lang, (_, part) in bounds.items() for x in (lang, part)))
     count = F.ceil(F.char_length("t") / F.lit(width)).cast("long")
-    return (
-        known.where((F.pmod(F.xxhash64("o", "t"), F.lit(span)) < limit) & F.col("t").rlike("\\p{L}"))
+    drawn = (
+        known.where(F.pmod(F.xxhash64("o", "t"), F.lit(span)) < bound[F.col("lang")])
         .withColumn("at", F.pmod(F.xxhash64("o", F.lit(1)), count))
         .select(F.expr(f"substring(t, int(at * {width} + 1), {width})").alias("piece"), "lang", F.xxhash64("o", "t").alias("o"))
-        .orderBy("o", "piece", "lang")
-        .limit(rows)
     )
+    # about four times a share is drawn, whatever the table's size, so no language's window grows with it
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("o", "piece"))
+    return drawn.withColumn("place", place).where(F.col("place") <= most[F.col("lang")]).drop("place").orderBy("o", "piece", "lang")
 
 
 def fit(documents: DataFrame, text: str = "text", label: str = "lang", order: str = "doc_id", rows: int = 4000, width: int = 512, miss: float = 0.001) -> Model | None:
-    """Train on at most ``rows`` pieces of ``width`` characters (at most 2 million characters by default).
+    """Train on at most ``rows`` pieces of ``width`` characters (at most 2 million characters by default), in equal shares per language.
 
-    Tasks pass on only texts whose hash lies below a bound set by the row count, about four times ``rows`` in all.
+    Tasks pass on only texts whose hash lies below a bound set by their language's count, about four times ``rows`` in all.
     """
     sample = pieces_for_training(documents, rows, width, text, label, F.coalesce(F.col(order).cast("string"), F.lit("")))
     found = [(r["piece"], r["lang"]) for r in sample.select("piece", "lang").collect()]
