@@ -6,8 +6,8 @@ these words in the text is then replaced too. An entity's stand-in comes from an
 stand-in throughout the corpus (coreference), however it is spelled; shape, separators, letter case, script and, for
 given names, gender are kept, and check digits hold. Stand-ins are checked over the corpus: where two values met on
 one stand-in, or a stand-in is some other entity's true value, all but the least value draw again (distinctness). Names
-and local parts of addresses grow with each redraw, phone numbers after GROWS redraws, so that no pool of stand-ins is
-ever used up; the pools of the other kinds, which have a fixed length, hold 10^8 values or more.
+and local parts of addresses grow with each redraw, phone numbers after GROWS redraws, and after LENGTHENS redraws also the kinds
+whose length is fixed (a digit more; a port for addresses), so that no pool of stand-ins is ever used up.
 
 Defined results: a null or empty text stays as it is, with no entities. Of overlapping entities the one found by the
 earlier kind in KINDS stays. Repeated rows are rewritten alike. Columns named like results are replaced; names that
@@ -87,8 +87,9 @@ GENDER = {g: s for s, gs in GIVEN.items() for g in gs}
 ADDRESS = {t: s for s, ts in TITLES.items() for t in ts}
 _DIGIT = re.compile(r"[0-9]")
 
-# Redraws after which a phone number's stand-in has a digit more, and after which drawing is given up.
-GROWS, GIVE_UP = 8, 200
+# Redraws after which a stand-in has a digit more: for phone numbers, and for kinds whose length is fixed
+# (their pool is all but used up by then).
+GROWS, LENGTHENS = 8, 200
 
 
 def mails(text: str) -> list[tuple[int, int]]:
@@ -261,23 +262,24 @@ def _made_name(kind: str, form: str, draw: Stream, turn: int) -> str:
 def stand_in(key: bytes, kind: str, form: str, turn: int) -> str:
     """The normal form of a value's stand-in; ``turn`` counts the draws before."""
     draw = Stream(key, kind, form, str(turn))
+    more = turn // (GROWS if kind == "phone" else LENGTHENS)
     if kind == "email":
         local, _, domain = form.partition("@")
         host, _, top = domain.rpartition(".")
         # one domain has one stand-in, so addresses that share it still do
         return f"{_shaped(local + 'x' * turn, draw)}@{_shaped(host, Stream(key, 'domain', domain))}.{top}"
     if kind == "card":
-        body = form[0] + "".join(str(draw.below(10)) for _ in form[2:])
+        body = form[0] + "".join(str(draw.below(10)) for _ in range(len(form) - 2 + more))
         return next(body + c for c in "0123456789" if luhn(body + c))
     if kind == "iban":
-        body = "".join(str(draw.below(10)) if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[draw.below(26)] for c in form[4:])
+        body = "".join(str(draw.below(10)) if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[draw.below(26)] for c in form[4:] + "0" * more)
         return f"{form[:2]}{98 - iban_rest(form[:2] + '00' + body):02d}{body}"
     if kind == "ip":
-        return ".".join(str(1 + draw.below(254)) for _ in range(4))
+        host = ".".join(str(1 + draw.below(254)) for _ in range(4))
+        return f"{host}:{10 ** more + draw.below(9 * 10 ** more)}" if more else host
     if kind in ("given", "family"):
         return _made_name(kind, form, draw, turn)
     # phone and social security numbers keep their first digit and, short of many redraws, their length
-    more = turn // GROWS if kind == "phone" else 0
     return form[0] + "".join(str(draw.below(10)) for _ in range(len(form) - 1 + more))
 
 
@@ -342,8 +344,6 @@ def assigned(found: DataFrame, key: bytes) -> DataFrame:
         if waiting.isEmpty():
             return settled.select("kind", "form", "stand")
         turn += 1
-        if turn > GIVE_UP:
-            raise RuntimeError(f"no stand-in is left for {waiting.first()['kind']} values after {turn} draws")
 
 
 def pseudonymise(documents: DataFrame, key: bytes, text: str = "text") -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ionloom.llm import decontaminate, langid, linededup, minhash, packing, secrets, surrogates, toxicity, vectors, warc, wordhash
 from ionloom.llm.common import components, shared_folder, string_bytes
@@ -157,6 +158,18 @@ def network():
     return toxicity.train(texts, labels)
 
 
+@pytest.mark.parametrize("count", [1, 47, 48, 49, 72, 95, 96, 97, 143, 144, 145, 168, 240, 1000])
+def test_toxicity_is_the_best_window_whatever_the_segment(network, count, monkeypatch):
+    draw = random.Random(count)
+    text = " ".join(draw.choice(["balox", "cemuy", "dinez", "filthy", "vermin", "diloz"]) for _ in range(count))
+    words = toxicity.words_of(text)
+    starts = sorted({*range(0, max(count - 48, 0), 24), max(count - 48, 0)})
+    brute = max(toxicity.Scorer(network)([b" ".join(words[s : s + 48]).decode()])[0] for s in starts)
+    for segment in (1 << 20, 8 * 24, 8 * 50, 8 * 100):
+        monkeypatch.setattr(toxicity, "SEGMENT", segment)
+        assert toxicity.Scorer(network)([text])[0] == pytest.approx(brute, abs=1e-5)
+
+
 def test_toxicity_on_whole_texts(documents_of, odd, none, network):
     clean = "balox cemuy dinez " * 4000
     rows = documents_of([(1, clean), (2, clean + "Vermin! " + clean), (3, "filthy balox"), (4, "balox")])
@@ -455,6 +468,17 @@ def test_language(documents_of, odd, none):
     assert {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(documents_of):
+    assert langid.shares({"a": 10_000, "b": 7, "c": 500, "d": 9}, 1000) == {"b": 7, "d": 9, "c": 492, "a": 492}
+    assert langid.shares({"a": 5, "b": 5, "c": 5}, 2) == {"a": 1, "b": 1, "c": 1}
+    rows = [(i, f"plenty of words {i}", "en", None) for i in range(20_000)] + [(-i, f"ñandú ción {i}", "rr", None) for i in range(1, 4)]
+    sample = langid.pieces_for_training(documents_of(rows), 400, 512, "text", "lang", F.col("doc_id").cast("string"))
+    counts = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert counts == {"rr": 3, "en": 397}
+    again = langid.pieces_for_training(documents_of(rows[::-1]).repartition(3), 400, 512, "text", "lang", F.col("doc_id").cast("string"))
+    assert sample.collect() == again.collect()
+
+
 def test_language_sums_do_not_depend_on_blocks():
     texts = pa.array(["abc déf GHI", "", None, "x", "ÀÉ漢 " * 50, "y" * 301])
     table = np.random.default_rng(0).normal(size=(langid.BUCKETS, 3)).astype(np.float32)
@@ -590,11 +614,21 @@ def test_small_pools_of_surrogates_grow(spark):
     assert all(surrogates.mails(r["stand"]) == [(0, len(r["stand"]))] for r in found if r["kind"] == "email")
 
 
-def test_drawing_stand_ins_ends(spark, monkeypatch):
-    monkeypatch.setattr(surrogates, "stand_in", lambda key, kind, form, turn: "1")
-    monkeypatch.setattr(surrogates, "GIVE_UP", 3)
-    with pytest.raises(RuntimeError, match="ssn"):
-        surrogates.assigned(spark.createDataFrame([("ssn", "2"), ("ssn", "3")], "kind string, form string"), b"k")
+def test_full_pools_of_fixed_length_grow(spark, monkeypatch):
+    real = surrogates.stand_in
+    monkeypatch.setattr(surrogates, "stand_in", lambda key, kind, form, turn: real(key, kind, form, 100 * turn))
+    whole = [("ssn", str(n)) for n in range(10, 100)]  # every number of two digits is someone's true value
+    found = surrogates.assigned(spark.createDataFrame(whole, "kind string, form string"), b"k").collect()
+    assert len(found) == len({r["stand"] for r in found}) == 90
+    assert not {r["stand"] for r in found} & {form for _, form in whole}
+    assert all(r["stand"][0] == r["form"][0] for r in found)
+    for turn in (0, 1, 2, 5):
+        card = real(b"k", "card", "4529603461135147", 100 * turn)
+        iban = real(b"k", "iban", "DE89370400440532013000", 100 * turn)
+        host = real(b"k", "ip", "10.1.2.3", 100 * turn)
+        assert len(card) == 16 + turn // 2 and surrogates.luhn(card)
+        assert len(iban) == 22 + turn // 2 and surrogates.iban_rest(iban) == 1
+        assert (":" in host) == (turn >= 2)
 
 
 @settings(deadline=None, max_examples=300)
