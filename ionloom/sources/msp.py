@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.operators.ordered import global_ordinal
+from ionloom.operators.ordered import global_ordinal, running_total
 from ionloom.operators.spectra import clean_library_peaks
 
 
@@ -28,17 +28,33 @@ LIBRARY_INTENSITY = 0.1
 BLANK_LINES = r"\r?\n(?:[ \t]*\r?\n)+"
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with the ``file`` and the file split (``block``) they begin in; ``at`` grows along each split.
+
+    The number is a task's and a row's place, so a task that runs again gives the same one.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    return text.select(
+        F.regexp_replace("value", "\r$", "").alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per blank-line separated record, with the ``file`` it is from.
 
-    The first line tells the line ending. The reader splits files at the blank
-    line of that ending, so one large library file is read by many tasks;
-    what other blank lines are left (white space in them, another ending) are split at afterwards.
+    Files are read line by line in splits of their own, so a large file is read by many tasks whatever its line
+    endings or the white space in its blank lines. Blank lines are counted inside splits and the counts chained
+    along the file; a record's lines then meet by its number, also where a split cuts it.
     """
-    first = spark.read.option("lineSep", "\n").text(path).limit(1).collect()
-    separator = "\r\n\r\n" if first and first[0]["value"].endswith("\r") else "\n\n"
-    text = spark.read.option("lineSep", separator).text(path)
-    return split_records(text.select("value", F.col("_metadata.file_path").alias("file")), "value")
+    lines = read_lines(spark, path).withColumn("_blank", (~F.col("line").rlike(r"\S")).cast("long"))
+    # splits are numbered by their offset, so only lines of one split are sorted in a task
+    numbered = running_total(lines, ["file"], ["at"], "_blank", F.col("block"), "_record").filter(F.col("_blank") == 0)
+    placed = F.sort_array(F.collect_list(F.struct("block", "at", "line")))
+    records = numbered.groupBy("file", "_record").agg(placed.alias("_lines"))
+    return records.select("file", F.concat_ws("\n", F.col("_lines.line")).alias("record"))
 
 
 def split_records(texts: DataFrame, text: str) -> DataFrame:
@@ -102,7 +118,8 @@ def read_msp(
     """
     records = read_records(spark, path)
     entries = global_ordinal(parse_records(records, labels), ["lib_mz", "name", "adduct", "peak_lines"], "lid")
-    empty = records.select("file").distinct().join(entries.select("file").distinct(), "file", "left_anti").head(1)
+    files = read_lines(spark, path).filter(F.col("line").rlike(r"\S")).select("file").distinct()
+    empty = files.join(entries.select("file").distinct(), "file", "left_anti").head(1)
     if empty or entries.isEmpty():
         raise ValueError(f"no complete record in {empty[0]['file'] if empty else path}")
     peaks = clean_library_peaks(explode_peaks(entries, "lid"), ["lid"], ["pos"], LIBRARY_INTENSITY)

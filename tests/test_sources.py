@@ -146,3 +146,28 @@ def test_msp_blank_lines_and_foreign_files(spark, tmp_path):
     (tmp_path / "other.msp").write_text("NAME: A\nPEPMASS: 7\n\nNAME: B\n")
     with pytest.raises(ValueError, match="other.msp"):
         msp.read_msp(spark, str(tmp_path))
+
+
+def test_msp_files_of_any_ending_are_read_by_many_tasks(spark, tmp_path):
+    entry = "Name: {0}\nFormula: C2H6O\nPrecursorMZ: {0}\nPrecursor_type: [M+H]+\nIon_mode: P\nNum Peaks: 2\n50.5 99\n60.5 {0}\n"
+    texts = [entry.format(n) for n in range(100, 400)]
+    blanks = ["\n", " \t\n", "\n\n\n", "\r\n"]
+    for k, file in enumerate(("unix", "dos", "mixed")):
+        ends = [text.replace("\n", "\r\n") if file == "dos" or (file == "mixed" and n % 3 == 0) else text for n, text in enumerate(texts)]
+        body = "".join(text + (blanks[n % 4] if file == "mixed" else "\r\n" if file == "dos" else "\n") for n, text in enumerate(ends))
+        (tmp_path / f"{file}.msp").write_text(body, newline="")
+    saved = {name: spark.conf.get(name) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = msp.read_lines(spark, str(tmp_path))
+        per_file = lines.groupBy("file").agg(F.countDistinct("block").alias("n"))
+        assert all(r["n"] > 5 for r in per_file.collect()) and lines.rdd.getNumPartitions() > 20
+        records = msp.read_records(spark, str(tmp_path))
+        found = [(r["file"].rsplit("/", 1)[1], r["record"]) for r in records.collect()]
+        assert sorted(found) == sorted((f"{file}.msp", text.strip("\n")) for file in ("unix", "dos", "mixed") for text in texts)
+        library, peaks = msp.read_msp(spark, str(tmp_path))
+        assert library.count() == 900 and peaks.count() == 1800
+    finally:
+        for name, value in saved.items():
+            spark.conf.set(name, value)
