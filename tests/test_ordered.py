@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,33 @@ def test_quantiles(spark):
         values = [r[2] for r in rows if r[0] == g]
         assert [found[g].a, found[g].b, found[g].c] == pytest.approx(list(np.quantile(values, [0.25, 0.75, 0.5])))
         assert ranks[g].third == sorted(values)[2]
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_quantiles_of_crowded_heavy_and_tied_groups(spark, monkeypatch, few):
+    monkeypatch.setattr("ionloom.operators.quantiles.FEW_GROUPS", few)
+    rng = np.random.default_rng(8)
+    groups = {
+        "heavy": np.exp(rng.normal(0, 8, 30_000)),
+        "tied": np.repeat([1.0, 2.0, 3.0], [20_000, 5, 9_995]),
+        "mixed": np.concatenate([np.full(15_000, 7.0), rng.normal(7, 1e-9, 15_000), [np.inf, -np.inf, 1e300]]),
+        "pair": np.array([-1.0, 4.0]),
+        None: np.array([5.0]),
+        "long": np.arange(25_001.0)[::-1],
+    }
+    frame = pd.concat([pd.DataFrame({"g": g, "x": v}) for g, v in groups.items()]).sample(frac=1, random_state=1)
+    df = spark.createDataFrame(list(frame.itertuples(index=False, name=None)) + [("pair", None)], "g string, x double")
+    spots = (0.0, 0.0001, 0.25, 0.5, 0.75, 0.9999, 1.0)
+    found = {r.g: r for r in order_statistics(df, ["g"], "x", **{f"p{k}": F.floor((F.col("n") - 1) * p) + 1 for k, p in enumerate(spots)}).collect()}
+    assert set(found) == set(groups)
+    for g, values in groups.items():
+        ordered = np.sort(values)
+        assert found[g].n == len(values)
+        assert [found[g][f"p{k}"] for k in range(len(spots))] == [ordered[int(np.floor((len(values) - 1) * p))] for p in spots]
+
+
+def test_quantiles_cut_once_over_many_partitions(spark):
+    df = spark.range(0, 300_000, 1, 8).select(F.lit("g").alias("g"), (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7.0).alias("x"))
+    ordered = np.sort([r.x for r in df.collect()])
+    found = order_statistics(df, ["g"], "x", least=F.lit(1), low=F.lit(75_000), mid=F.lit(150_001), last=F.col("n")).first()
+    assert [found.least, found.low, found.mid, found.last] == [ordered[0], ordered[74_999], ordered[150_000], ordered[-1]]
