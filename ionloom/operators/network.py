@@ -102,7 +102,10 @@ def pair_sums(long: DataFrame, numbers: DataFrame, kernel: str, row: str = "samp
 
 
 def correlations(long: DataFrame, numbers: DataFrame, n_samples: int) -> DataFrame:
-    """Pearson correlation of every feature pair ``i < j``; missing cells count as 0."""
+    """Pearson correlation of every feature pair ``i < j``; missing cells count as 0.
+
+    It is null where a feature never varies.
+    """
     n = F.lit(float(n_samples))
     centred = long.groupBy("feature").agg(F.sum("value").alias("_sum")).join(numbers, "feature")
     products = pair_sums(long, numbers, "product")
@@ -113,7 +116,8 @@ def correlations(long: DataFrame, numbers: DataFrame, n_samples: int) -> DataFra
     left = stats.select(F.col("feature_no").alias("i"), F.col("t").alias("ti"), F.col("v").alias("vi"))
     right = stats.select(F.col("feature_no").alias("j"), F.col("t").alias("tj"), F.col("v").alias("vj"))
     r = F.try_divide(F.col("s") - F.col("ti") * F.col("tj") / n, F.sqrt(F.col("vi") * F.col("vj")))
-    clipped = F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
+    # least and greatest pass over nulls
+    clipped = F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
     return products.filter("i < j").join(left, "i").join(right, "j").select("i", "j", clipped.alias("r"))
 
 
@@ -133,11 +137,12 @@ def with_p_value(pairs: DataFrame, n_samples: int) -> DataFrame:
 def adjacency(pairs: DataFrame, power: float, signed: bool = True) -> DataFrame:
     """Soft-thresholded network: ``((1+r)/2)^power``, or ``|r|^power`` unsigned.
 
-    ``sign`` keeps the sign of r for the unsigned overlap.
+    ``sign`` keeps the sign of r for the unsigned overlap. A null correlation is no link (0).
     """
     base = (F.lit(1.0) + F.col("r")) / 2 if signed else F.abs("r")
-    sign = F.lit(1.0) if signed else F.signum("r")
-    return pairs.select("i", "j", F.pow(base, F.lit(float(power))).alias("a"), sign.alias("sign"))
+    sign = F.lit(1.0) if signed else F.coalesce(F.signum("r"), F.lit(1.0))
+    link = F.coalesce(F.pow(base, F.lit(float(power))), F.lit(0.0))
+    return pairs.select("i", "j", link.alias("a"), sign.alias("sign"))
 
 
 def both_directions(pairs: DataFrame, *values: str) -> DataFrame:

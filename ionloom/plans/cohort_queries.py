@@ -255,7 +255,72 @@ def manhattan_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(sums, numbers).select("f1", "f2", F.round("s", 4).alias("distance"))
 
 
-@query("hierarchical_clusters")
+def _merges_sql(name: str, distances: str) -> str:
+    """Average linkage, one merge a step, of the table ``distances`` (i, j, d)."""
+    return f"""
+    {name}_steps AS (
+      SELECT 0 AS step, i AS a, j AS b, d AS s, 1 AS na, 1 AS nb FROM {distances}
+      UNION ALL
+      SELECT step + 1, least(a2, b2), greatest(a2, b2), sum(s), if(a2 < b2, na2, nb2), if(a2 < b2, nb2, na2)
+      FROM (
+        SELECT *, if(a = gone, stay, a) AS a2, if(b = gone, stay, b) AS b2,
+               if(a IN (stay, gone), both_n, na) AS na2, if(b IN (stay, gone), both_n, nb) AS nb2
+        FROM (
+          SELECT *, first_value(a) OVER w AS stay, first_value(b) OVER w AS gone, first_value(na + nb) OVER w AS both_n
+          FROM {name}_steps
+          WINDOW w AS (ORDER BY s / (na * nb), a, b ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))
+      WHERE a2 <> b2 GROUP BY ALL),
+    {name} AS (
+      SELECT step, a, b, s / (na * nb) AS height, na + nb AS size FROM {name}_steps
+      QUALIFY row_number() OVER (PARTITION BY step ORDER BY s / (na * nb), a, b) = 1)"""
+
+
+def _cut_sql(name: str, items: str, merges: str, height: float) -> str:
+    """Cluster of each item: its smallest member, reached through the merges up to ``height``."""
+    return f"""
+    {name}_up AS (
+      SELECT i AS item, i AS cluster FROM {items}
+      UNION ALL
+      SELECT item, a FROM {name}_up JOIN {merges} ON b = cluster AND height <= {height}),
+    {name} AS (SELECT item, min(cluster) AS cluster FROM {name}_up GROUP BY item)"""
+
+
+def _scores_sql(name: str, modules: str) -> str:
+    """Leading vectors of the modules (item, cluster) by squaring their matrices, and the scores of the samples."""
+    return f"""
+    {name}_powers AS (
+      SELECT 0 AS step, x.cluster, x.item AS i, y.item AS j, r AS m
+      FROM {modules} x JOIN {modules} y USING (cluster) JOIN numbered_pairs p ON p.i = x.item AND p.j = y.item
+      UNION ALL
+      SELECT step + 1, cluster, i, j, m / max(abs(m)) OVER (PARTITION BY cluster)
+      FROM (
+        SELECT x.step, x.cluster, x.i, y.j, sum(x.m * y.m) AS m
+        FROM {name}_powers x JOIN {name}_powers y ON x.cluster = y.cluster AND x.j = y.i WHERE x.step < 20 GROUP BY ALL)),
+    {name}_columns AS (
+      SELECT cluster, i, m, sum(m) OVER c AS side, sqrt(sum(m * m) OVER c) AS len
+      FROM {name}_powers JOIN (
+        SELECT cluster, arg_max(i, m) AS j FROM {name}_powers WHERE step = 20 AND i = j GROUP BY cluster) USING (cluster, j)
+      WHERE step = 20 WINDOW c AS (PARTITION BY cluster)),
+    {name} AS (
+      SELECT cluster AS module, sample, sum(sign(side) * m / len * z) AS score
+      FROM {name}_columns JOIN scaled USING (i) GROUP BY ALL)"""
+
+
+_NUMBERED_SQL = """,
+    items AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS i FROM features)"""
+
+_GAPS_SQL = """,
+    gaps AS (
+      SELECT x.i, y.i AS j, sum(abs(a.value - b.value)) AS d
+      FROM filled a JOIN filled b USING (sample) JOIN items x ON x.feature = a.feature JOIN items y ON y.feature = b.feature
+      WHERE x.i < y.i GROUP BY ALL)"""
+
+
+@query(
+    "hierarchical_clusters",
+    _BRANDS_SQL.replace("WITH", "WITH RECURSIVE", 1) + _NUMBERED_SQL + _GAPS_SQL + "," + _merges_sql("merges", "gaps")
+    + " SELECT a, b, round(height, 4) AS height, size FROM merges",
+)
 def hierarchical_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales = _brand_sales(spark, sf_dir)
     numbers = network.number_features(sales)
@@ -264,7 +329,31 @@ def hierarchical_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.select("a", "b", F.round("height", 4).alias("height"), "size")
 
 
-@query("module_eigengenes")
+_MODULES_SQL = (
+    _TOM_SQL.replace("WITH", "WITH RECURSIVE", 1).replace("(1 + r) / 2, 4", "(1 + r) / 2, 1") + _NUMBERED_SQL + """,
+    numbered_pairs AS (
+      SELECT x.i, y.i AS j, if(x.i = y.i, 1.0::DOUBLE, r) AS r
+      FROM pairs JOIN items x ON x.feature = f1 JOIN items y ON y.feature = f2),
+    scaled AS (
+      SELECT sample, i, (value - avg(value) OVER f) / stddev_samp(value) OVER f AS z
+      FROM filled JOIN items USING (feature) WINDOW f AS (PARTITION BY feature)),
+    far AS (SELECT x.i, y.i AS j, 1 - tom AS d FROM tom JOIN items x ON x.feature = f1 JOIN items y ON y.feature = f2),"""
+    + _merges_sql("merges", "far") + "," + _cut_sql("cut", "items", "merges", 0.55) + """,
+    found AS (SELECT * FROM cut QUALIFY count(*) OVER (PARTITION BY cluster) >= 2),"""
+    + _scores_sql("scores", "found") + """,
+    named AS (SELECT module, row_number() OVER (ORDER BY module) - 1 AS i FROM (SELECT DISTINCT module FROM scores)),
+    apart AS (
+      SELECT x.i, y.i AS j, 1 - corr(a.score, b.score) AS d FROM scores a JOIN scores b USING (sample)
+      JOIN named x ON x.module = a.module JOIN named y ON y.module = b.module WHERE x.i < y.i GROUP BY ALL),"""
+    + _merges_sql("joins", "apart") + "," + _cut_sql("joined", "named", "joins", 0.15) + """,
+    merged AS (
+      SELECT found.item, min(named.module) OVER (PARTITION BY joined.cluster) AS cluster
+      FROM found JOIN named ON named.module = found.cluster JOIN joined ON joined.item = named.i),"""
+    + _scores_sql("final", "merged")
+)
+
+
+@query("module_eigengenes", _MODULES_SQL + " SELECT module, sample, round(score, 6) AS score FROM final")
 def module_eigengenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales, numbers, pairs, n = _brand_pairs(spark, sf_dir)
     overlap = network.topological_overlap(network.adjacency(pairs, 1))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only: they may be applied to a session somebody else built.
 ADAPTIVE = {
@@ -78,3 +79,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="ionloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     context.setCheckpointDir(folder)
     return folder
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the checkpoint folder, which goes when the session ends.
+
+    Unlike ``checkpoint()`` this also measures the rows: a checkpoint keeps the size its plan was
+    estimated at, and estimates of joins multiply, so after a dozen rounds that join a result with
+    itself the numbers have more digits than the planner can handle.
+    """
+    spark = frame.sparkSession
+    folder = f"{checkpoint_dir(spark)}/rounds-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    frame.write.parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder)

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,60 @@ def test_good_features(spark):
     rows += [("s0", "rare", 1.0)]
     features, samples = cohort.good_features_and_samples(spark.createDataFrame(rows, "sample string, feature string, value double"))
     assert {r.feature for r in features.collect()} == {"x", "y"} and samples.count() == 6
+
+
+def leading(spark, matrix, groups):
+    n = len(matrix)
+    pairs = spark.createDataFrame([(i, j, float(matrix[i, j])) for i in range(n) for j in range(i + 1, n)], "i long, j long, r double")
+    module = spark.createDataFrame(list(enumerate(groups)), "feature_no long, module long")
+    return {r.feature_no: r.loading for r in modules.leading_vectors(module, pairs).collect()}
+
+
+def largest(matrix):
+    vector = np.linalg.eigh(matrix)[1][:, -1]
+    side = round(vector.sum(), 9) or vector[0]
+    return vector if side >= 0 else -vector
+
+
+def test_leading_vectors(spark):
+    rng = np.random.default_rng(8)
+    r = np.corrcoef(rng.normal(0, 1, (60, 12)) + rng.normal(0, 0.7, (60, 1)), rowvar=False)
+    groups = [0] * 7 + [1] * 3 + [modules.NO_MODULE, 5]
+    got = leading(spark, r, groups)
+    assert [got[i] for i in range(7)] == pytest.approx(list(largest(r[:7, :7])), abs=1e-9)
+    assert [got[i] for i in range(7, 10)] == pytest.approx(list(largest(r[7:10, 7:10])), abs=1e-9)
+    assert 10 not in got and got[11] == pytest.approx(1.0)
+
+
+def test_leading_vector_that_a_vector_of_ones_never_meets(spark):
+    got = leading(spark, np.array([[1, -0.5], [-0.5, 1]]), [3, 3])
+    assert [got[0], got[1]] == pytest.approx([0.5**0.5, -(0.5**0.5)], abs=1e-9)
+
+
+def test_leading_vector_of_a_large_module(spark):
+    rng = np.random.default_rng(9)
+    n = 2000
+    data = rng.normal(0, 1, (50, n)) + 0.8 * rng.normal(0, 1, (50, 1)) + 0.6 * rng.normal(0, 1, (50, 1)) * rng.choice([-1, 1], n)
+    r = np.corrcoef(data, rowvar=False)
+    i, j = np.triu_indices(n, 1)
+    pairs = spark.createDataFrame(pd.DataFrame({"i": i, "j": j, "r": r[i, j]}))
+    module = spark.range(n).select(F.col("id").alias("feature_no"), F.lit(0).cast("long").alias("module"))
+    got = modules.leading_vectors(module, pairs).toPandas().sort_values("feature_no")
+    assert got["loading"].to_numpy() == pytest.approx(largest(r), abs=1e-8)
+
+
+def test_constant_features_and_no_modules(spark):
+    cells = [(i, f, v) for i in range(5) for f, v in (("a", float(i)), ("b", float(i * i)), ("flat", 2.0))]
+    long = spark.createDataFrame(cells, "sample long, feature string, value double")
+    numbers = network.number_features(long)
+    pairs = network.correlations(long, numbers, 5)
+    assert sorted(r.r is None for r in pairs.collect()) == [False, True, True]
+    overlap = network.topological_overlap(network.adjacency(pairs, 2)).collect()
+    assert sorted(r.tom > 0 for r in overlap) == [False, False, True]
+    one = numbers.select("feature_no", F.lit(0).cast("long").alias("module"))
+    scores = modules.eigengenes(long, numbers, one, pairs, 5).collect()
+    z = np.array([[i, i * i] for i in range(5)], dtype=float)
+    z = ((z - z.mean(0)) / z.std(0, ddof=1)).sum(1) / 2**0.5
+    assert [r.score for r in sorted(scores, key=lambda r: r["sample"])] == pytest.approx(list(z))
+    none = one.withColumn("module", F.lit(modules.NO_MODULE).cast("long"))
+    assert modules.eigengenes(long, numbers, none, pairs, 5).count() == 0
