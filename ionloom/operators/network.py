@@ -1,8 +1,8 @@
 """Pairwise feature statistics and the co-expression network.
 
 All-pairs sums (products or absolute differences) run over blocks: features
-are split into blocks, each sample row goes to the block pairs it belongs to,
-and a task keeps one block-by-block array it adds every sample to. Tasks emit
+are split into blocks, the cells of a sample in a block are packed into one row that goes to the
+block pairs it belongs to, and a task keeps one block-by-block array it adds every sample to. Tasks emit
 that array once, so what is shuffled depends on the features, not on the samples.
 """
 
@@ -38,37 +38,34 @@ def _pair_sums(kernel: str):
         return np.stack([np.abs(left[:, [a]] - right).sum(axis=0) for a in range(left.shape[1])])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[tuple[int, int], np.ndarray] = {}
-        rest = None
-        # rows arrive sorted by block pair and sample; a sample cut by a batch end waits for its rest
+        # rows arrive sorted by block pair; a row holds a sample's cells of both blocks
+        pair, total = None, None
         for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch])
-            last = (rows[["bi", "bj", "row"]] == rows[["bi", "bj", "row"]].iloc[-1]).all(axis=1)
-            rest, whole = rows[last], rows[~last]
-            yield from add(totals, whole)
-        if rest is not None:
-            yield from add(totals, rest)
-        for pair, total in totals.items():
+            for here, part in batch.groupby(["bi", "bj"], sort=True):
+                if here != pair:
+                    if pair is not None:
+                        yield _flush(pair, total)
+                    pair, total = here, np.zeros((BLOCK, BLOCK))
+                for start in range(0, len(part), SLICE):
+                    rows = part.iloc[start : start + SLICE]
+                    left = _dense(rows["left_at"], rows["left_values"])
+                    right = left if here[0] == here[1] else _dense(rows["right_at"], rows["right_values"])
+                    total += slice_sum(left, right)
+        if pair is not None:
             yield _flush(pair, total)
 
-    def add(totals: dict, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for pair, part in rows.groupby(["bi", "bj"], sort=True):
-            for done in [p for p in totals if p != pair]:
-                yield _flush(done, totals.pop(done))
-            total = totals.setdefault(pair, np.zeros((BLOCK, BLOCK)))
-            codes, _ = pd.factorize(part["row"])
-            feature, value = part["feature_no"].to_numpy(), part["value"].to_numpy()
-            for start in range(0, codes.max() + 1, SLICE):
-                here = (codes >= start) & (codes < start + SLICE)
-                left, right = np.zeros((SLICE, BLOCK)), np.zeros((SLICE, BLOCK))
-                in_left, in_right = here & (feature // BLOCK == pair[0]), here & (feature // BLOCK == pair[1])
-                left[codes[in_left] - start, feature[in_left] % BLOCK] = value[in_left]
-                right[codes[in_right] - start, feature[in_right] % BLOCK] = value[in_right]
-                total += slice_sum(left, right)
-
     return run
 
 
+def _dense(places: pd.Series, values: pd.Series) -> np.ndarray:
+    """One line per sample of a block; a sample without cells there (null) is a line of zeros. Repeated cells add up."""
+    out = np.zeros((len(places), BLOCK))
+    for line, (at, cells) in enumerate(zip(places, values)):
+        if at is not None:
+            out[line] = np.bincount(at, cells, BLOCK)
+    return out
+
+
 def number_features(long: DataFrame, feature: str = "feature") -> DataFrame:
     """Distinct features with their 0-based position."""
     return global_ordinal(long.select(feature).distinct(), [feature], "_n").select(
@@ -79,23 +76,27 @@ def number_features(long: DataFrame, feature: str = "feature") -> DataFrame:
 def pair_sums(long: DataFrame, numbers: DataFrame, kernel: str, row: str = "sample", feature: str = "feature") -> DataFrame:
     """Sum over ``row`` of x*y (``product``) or abs(x-y) (``difference``) per feature pair.
 
-    Missing cells count as 0; every pair of the features is listed. Returns
-    positions ``i <= j`` and the sum ``s``.
+    Missing cells and null values count as 0, the cells of a feature that a sample has more than once add up, rows
+    without a sample are one sample; every pair of the features is listed. Returns positions ``i <= j`` and the sum ``s``.
     """
     n_features = int(numbers.count())
     blocks = max(n_features - 1, 0) // BLOCK + 1
-    own = F.floor(F.col("feature_no") / BLOCK).cast("int")
-    other = F.col("_other")
-    spread = (
-        long.select(F.col(row).alias("row"), feature, F.col("value").cast("double").alias("value"))
-        .join(numbers, feature)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select(
-            F.least(own, other).alias("bi"), F.greatest(own, other).alias("bj"), "row", "feature_no", "value"
-        )
+    cells = long.select(F.col(row).alias("row"), feature, F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value")).join(numbers, feature)
+    cell = F.struct((F.col("feature_no") % BLOCK).cast("int").alias("at"), "value")
+    # at most BLOCK cells a row, whatever the table; they travel as one row from here on
+    packed = cells.groupBy("row", F.floor(F.col("feature_no") / BLOCK).cast("int").alias("block")).agg(F.collect_list(cell).alias("cells"))
+    own, other = F.col("block"), F.col("_other")
+    # a block pair meets a sample in at most two rows, one per side
+    sides = packed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        F.least(own, other).alias("bi"), F.greatest(own, other).alias("bj"), "row",
+        F.when(own <= other, F.col("cells")).alias("_left"), F.when(own >= other, F.col("cells")).alias("_right"),
     )
-    # all cells of a sample meet in one task per block pair, samples spread over all tasks
-    placed = spread.repartition("bi", "bj", "row").sortWithinPartitions("bi", "bj", "row")
+    if blocks > 1:
+        first = [F.first(side, ignorenulls=True).alias(side) for side in ("_left", "_right")]
+        sides = sides.groupBy("bi", "bj", "row").agg(*first)
+    placed = sides.select(
+        "bi", "bj", *[F.col(f"_{side}.{part}").alias(f"{side}_{name}") for side in ("left", "right") for part, name in (("at", "at"), ("value", "values"))]
+    ).sortWithinPartitions("bi", "bj")
     partial = placed.mapInPandas(_pair_sums(kernel), "i long, j long, s double")
     # blocks are padded with empty features beyond the last one
     return partial.filter(F.col("j") < n_features).groupBy("i", "j").agg(F.sum("s").alias("s"))

@@ -182,3 +182,12 @@ def test_constant_features_and_no_modules(spark):
     assert [r.score for r in sorted(scores, key=lambda r: r["sample"])] == pytest.approx(list(z))
     none = one.withColumn("module", F.lit(modules.NO_MODULE).cast("long"))
     assert modules.eigengenes(long, numbers, none, pairs, 5).count() == 0
+
+
+def test_pair_sums_of_odd_cells(spark):
+    cells = [(1, "a", 2.0), (1, "a", 1.0), (1, "b", 4.0), (2, "b", None), (2, "a", 5.0), (None, "a", 1.0), (None, "b", 6.0)]
+    long = spark.createDataFrame(cells, "sample long, feature string, value double")
+    numbers = network.number_features(long)
+    assert dense(network.pair_sums(long, numbers, "product"), "s", 2).tolist() == [[35.0, 18.0], [18.0, 52.0]]
+    assert dense(network.pair_sums(long, numbers, "difference"), "s", 2)[0, 1] == 1.0 + 5.0 + 5.0
+    assert network.pair_sums(long.limit(0), numbers, "product").count() == 0
