@@ -106,14 +106,17 @@ def chain_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def chain_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = titles.add_name_columns(_named(spark, sf_dir), "name").withColumn(
-        "us", titles.chain_unsaturations(F.col("chain"))
-    )
+    def keyed(names: DataFrame) -> DataFrame:
+        parsed = titles.add_name_columns(names, "name").withColumn("us", titles.chain_unsaturations(F.col("chain")))
+        return parsed.select(
+            "name", "subclass", "total_uns",
+            titles.chain_cluster(F.col("subclass"), F.col("total_uns"), F.col("chain")).alias("chain_cluster"),
+            *[F.get("us", F.lit(i)).alias(f"fa{i + 1}") for i in range(4)],
+        )
+
+    rows = on_distinct(_named(spark, sf_dir), ["name"], keyed)
     return rows.select(
-        *KEY,
-        titles.chain_cluster(F.col("subclass"), F.col("total_uns"), F.col("chain")).alias("chain_cluster"),
-        *[F.get("us", F.lit(i)).alias(f"fa{i + 1}") for i in range(4)],
-        F.concat("subclass", "total_uns", "adduct").alias("cluster"),
+        *KEY, "chain_cluster", *[f"fa{i + 1}" for i in range(4)], F.concat("subclass", "total_uns", "adduct").alias("cluster")
     )
 
 

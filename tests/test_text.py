@@ -1,7 +1,13 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from ionloom.functions import filters, masses, titles
+from ionloom.plans.catalogue import QUERIES
+from ionloom.sources import derived
+
+FOLDER = Path("/root/testdata/sf0.001")
 
 
 def one(spark, build, text):
@@ -81,3 +87,26 @@ def test_filters(spark):
         filters.adduct_allowed(F.col("a"), "x")
     scores = spark.createDataFrame([(0.5,), (0.4,), (float("nan"),), (None,)], "s double")
     assert scores.filter(filters.at_least(F.col("s"), 0.5)).count() == 1
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="needs the test tables")
+def test_names_are_parsed_once(spark):
+    plan = QUERIES["chain_key"](spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[name" in plan
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="needs the test tables")
+def test_candidates_are_grouped_by_numbers(spark):
+    plan = derived.annotations(spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
+    keys = [line.split("keys=[")[1].split("]")[0] for line in plan.splitlines() if "Aggregate(keys=[q" in line]
+    assert keys and not any("file" in k or "DES" in k for k in keys)
+
+
+def test_candidates_without_numbers_stay(spark, tmp_path):
+    rows = [(1, 2, 1, 0.1, 0.2), (1, 2, 2, 0.05, 0.3), (1, 2, None, 0.0, 0.0), (1, None, 1, 0.1, 0.1), (1, None, None, 0.2, 0.0)]
+    kinds = "l_orderkey long, l_partkey long, l_linenumber int, l_discount double, l_tax double"
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = derived.annotations(spark, str(tmp_path)).collect()
+    assert sorted((str(r.x), r.title, r.score_match, r.score_ratio) for r in found) == [
+        ("2", "", 0.4, 0.0), ("2", "TG 16:2_16:0", 1.0, 3.0), ("None", "", 1.6, 1.0),
+    ]
