@@ -64,10 +64,18 @@ def split_records(texts: DataFrame, text: str) -> DataFrame:
     return texts.select(*rest, parts.alias("record")).filter(F.col("record").rlike(r"\S"))
 
 
-def _field(lines: Column, label: str) -> Column:
+def _around(text: Column, label: str) -> tuple[Column, Column]:
+    """Text before and after the first ``label``; what follows is null when there is none."""
+    before = F.substring_index(text, label, 1)
+    after = F.when(text.contains(label), F.substr(text, F.length(before) + F.lit(len(label) + 1)))
+    return before, after
+
+
+def _field(text: Column, label: str) -> Column:
     """First line that contains ``label``, without it; null when there is none."""
-    line = F.get(F.filter(lines, lambda text: text.contains(label)), F.lit(0))
-    return F.replace(line, F.lit(label), F.lit(""))
+    before, after = _around(text, label)
+    rest = F.replace(F.substring_index(after, "\n", 1), F.lit(label), F.lit(""))
+    return F.concat(F.substring_index(before, "\n", -1), rest)
 
 
 def parse_records(records: DataFrame, labels: MspLabels = DEFAULT_LABELS) -> DataFrame:
@@ -76,26 +84,28 @@ def parse_records(records: DataFrame, labels: MspLabels = DEFAULT_LABELS) -> Dat
     A record needs every label, a numeric precursor, exactly one peak-count
     line and at least one line after it.
     """
-    lines = F.filter(F.split("record", "\r?\n"), lambda text: F.length(F.trim(text)) > 0)
-    # exploding one-element arrays keeps the completeness check above the parsing;
-    # pushed below it, the check would parse every field a second time
+    # fields are cut from the text around their labels: lists of lines are slow to search, so only the peaks become one.
+    # exploding one-element arrays keeps the completeness checks above the parsing;
+    # pushed below it, the checks would parse every field a second time
     rest = [c for c in records.columns if c != "record"]
-    split = records.select(*rest, F.explode(F.array(lines)).alias("_lines"))
-    counts = F.filter("_lines", lambda text: text.contains(labels.num_peaks))
-    counted = split.select(*rest, "_lines", F.explode(F.array(counts)).alias("_counts")).filter(F.size("_counts") == 1)
-    at = F.array_position("_lines", F.get("_counts", F.lit(0))).cast("int")
+    text = F.replace("record", F.lit("\r\n"), F.lit("\n")).alias("_text")
+    # the count line ends at the first line break after its label
+    counted = F.substring_index(_around(F.col("_text"), labels.num_peaks)[1], "\n", 1)
+    told = F.substr(_around(F.col("_text"), labels.num_peaks)[1], F.length(counted) + F.lit(2)).alias("_after")
+    split = records.select(*rest, F.explode(F.array(text)).alias("_text")).select(*rest, "_text", F.explode(F.array(told)).alias("_after"))
+    once = split.filter(~F.col("_after").contains(labels.num_peaks))
     # the adduct label carries no colon, so the value may start with one
-    adduct = F.regexp_replace(_field(F.col("_lines"), labels.adduct), "^: ", "")
+    adduct = F.regexp_replace(_field(F.col("_text"), labels.adduct), "^: ", "")
     fields = F.struct(
-        _field(F.col("_lines"), labels.name).alias("name"),
-        _field(F.col("_lines"), labels.formula).alias("formula"),
-        F.trim(_field(F.col("_lines"), labels.precursor_mz)).try_cast("double").alias("lib_mz"),
+        _field(F.col("_text"), labels.name).alias("name"),
+        _field(F.col("_text"), labels.formula).alias("formula"),
+        F.trim(_field(F.col("_text"), labels.precursor_mz)).try_cast("double").alias("lib_mz"),
         adduct.alias("adduct"),
-        F.substring(_field(F.col("_lines"), labels.mode), 1, 1).alias("esi_mode"),
-        F.slice("_lines", at + 1, F.greatest(F.size("_lines"), F.lit(1))).alias("peak_lines"),
+        F.substring(_field(F.col("_text"), labels.mode), 1, 1).alias("esi_mode"),
+        F.filter(F.split("_after", "\n"), lambda line: F.length(F.trim(line)) > 0).alias("peak_lines"),
     )
     required = ["name", "formula", "lib_mz", "adduct", "esi_mode"]
-    return counted.select(*rest, F.inline(F.array(fields))).dropna(subset=required).filter(F.size("peak_lines") > 0)
+    return once.select(*rest, F.inline(F.array(fields))).dropna(subset=required).filter(F.size("peak_lines") > 0)
 
 
 def explode_peaks(records: DataFrame, key: str) -> DataFrame:

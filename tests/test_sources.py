@@ -171,3 +171,14 @@ def test_msp_files_of_any_ending_are_read_by_many_tasks(spark, tmp_path):
     finally:
         for name, value in saved.items():
             spark.conf.set(name, value)
+
+
+def test_fields_are_cut_without_lists_of_lines(spark):
+    texts = [RECORDS[0].replace("\n", "\r\n"), RECORDS[0] + "\nNum Peaks: 1\n1 1", "Name: Name: B\r\r\n" + RECORDS[2].partition("\n")[2]]
+    parsed = msp.parse_records(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, record string"))
+    rows = {r.i: r for r in parsed.collect()}
+    assert sorted(rows) == [0, 2] and rows[0].name == "A" and rows[0].peak_lines == ["20.5 100", "10 10", "15 9", "20.5 50"]
+    assert rows[2].name == "B\r" and rows[2].peak_lines == ["5 comment 7"]
+    # only the peak lines become a list that is filtered
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(split(") <= 2 and "_lines#" not in plan.replace("peak_lines#", "")
