@@ -47,6 +47,28 @@ def test_hierarchical_job(spark, inputs):
     assert all(r.rule1_stand == 0.5 for r in out if r.subclass == "PE")
 
 
+def test_hierarchical_job_exchanges_few_matches_once(spark, inputs):
+    spectra, peaks, library, fragments = inputs
+    settings = {"esi": "p", "ppm1": 5, "ppm2": 30, "intensity_fraction": 0.1}
+    plain = sorted(map(tuple, annotate.hierarchical_candidates(*inputs, **settings).collect()))
+    # every entry fifty times, each fifth copy without its first fragments; levels 1 and 3, 2 and 4 are of one family
+    copies = lambda frame: frame.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("lid", F.col("lid") + 1000 * F.col("copy"))
+    level = F.when(F.col("copy") % 2 == 1, F.translate("title", "12", "34")).otherwise(F.col("title"))
+    many = copies(library).withColumn("title", F.concat(F.substring(level, 1, 6), F.substring("title", 7, 200))).drop("copy")
+    parts = copies(fragments).filter("copy % 5 < 4 or frag_mz > 200").drop("copy")
+    found = annotate.hierarchical_candidates(spectra, peaks, many, parts, **settings)
+    rows = sorted(map(tuple, found.collect()))
+    assert len(rows) == len(plain) == 12 and {r[:10] for r in rows} == {r[:10] for r in plain}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("MapInArrow")].splitlines()
+    sent = [line for line in above if "Exchange hashpartitioning(file" in line]
+    # one exchange for the levels and the ranks
+    assert len(sent) == 1 and "REPARTITION_BY_COL" in sent[0]
+    entries = annotate.describe_library(many, strip_database=False).withColumn("_allowed", F.lit(True))
+    few = annotate._matched(spectra, peaks, None, 0.1, entries, parts, 5, 30, 0.5).count()
+    assert few <= 12 * 4 and annotate._matched(spectra, peaks, None, 0.1, entries, parts, 5, 30).count() > 10 * few
+
+
 def test_flat_job(spark, inputs):
     spectra, peaks, library, fragments = inputs
     library = library.withColumn("title", F.concat(F.lit("DB#: "), F.regexp_replace("title", ".*_DES_", "")))
