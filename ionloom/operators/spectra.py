@@ -37,6 +37,23 @@ def clean_library_peaks(
     return kept.groupBy(*keys, mz).agg(F.min_by(intensity, F.struct(*order)).alias(intensity))
 
 
+def clean_listed_peaks(records: DataFrame, keys: list[str], peaks: str, fraction: float = 0.1) -> DataFrame:
+    """``clean_library_peaks`` for records with all their ``peaks`` (pos, mz, intensity) in a list, ordered by position.
+
+    Records of equal keys are one entry and are exchanged once, a row each; a list that repeats is taken once. An entry's peaks are few.
+    """
+    entries = records.groupBy(*keys).agg(F.collect_set(peaks).alias("_lists"))
+    # exploding one-element arrays keeps each step computed once
+    once = lambda frame, out, value: frame.select(*keys, F.explode(F.array(value)).alias(out))
+    listed = once(entries, "_peaks", F.flatten("_lists"))
+    limit = F.lit(float(fraction)) * F.array_max(F.col("_peaks.intensity"))
+    based = listed.select(*keys, "_peaks", F.explode(F.array(limit)).alias("_limit"))
+    by_mz = lambda p: F.struct(p["mz"], p["pos"], p["intensity"])
+    kept = once(based, "_kept", F.sort_array(F.transform(F.filter("_peaks", lambda p: p["intensity"] >= F.col("_limit")), by_mz)))
+    first = F.filter("_kept", lambda p, at: (at == 0) | (p["mz"] != F.get(F.col("_kept"), at - 1)["mz"]))
+    return kept.select(*keys, F.explode(first).alias("_peak")).select(*keys, "_peak.mz", "_peak.intensity")
+
+
 def spectrum_headers(peaks: DataFrame, keys: list[str], order: str, mz: str = "mz", intensity: str = "intensity") -> DataFrame:
     """One row per spectrum: size, base peak, total and its first and last scan row."""
     return peaks.groupBy(*keys).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom.operators import fingerprint
-from ionloom.operators.spectra import clean_library_peaks
+from ionloom.operators.spectra import clean_listed_peaks
 from ionloom.plans.registry import query
 from ionloom.sources import derived as d, fingerprints, msp
 
@@ -45,14 +45,12 @@ def msp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = d.table(spark, sf_dir, "lineitem").select(record.alias("record"))
     # one line item is one record; its name and mass tell records apart
-    parsed = msp.parse_records(rows)
-    lines = parsed.withColumn("entry", F.struct("name", "lib_mz", "formula", "adduct", "esi_mode"))
-    peaks = msp.explode_peaks(lines, "entry")
-    cleaned = clean_library_peaks(peaks, ["entry"], ["pos"], msp.LIBRARY_INTENSITY)
+    parsed = msp.list_peaks(msp.parse_records(rows))
+    cleaned = clean_listed_peaks(parsed, ["name", "lib_mz", "formula", "adduct", "esi_mode"], "peaks", msp.LIBRARY_INTENSITY)
     return cleaned.select(
-        F.substring_index("entry.name", "#", 1).cast("bigint").alias("id"),
-        F.substring_index("entry.name", "#", -1).cast("int").alias("line"),
-        "entry.formula", "entry.lib_mz", "entry.adduct", "entry.esi_mode", "mz", "intensity",
+        F.substring_index("name", "#", 1).cast("bigint").alias("id"),
+        F.substring_index("name", "#", -1).cast("int").alias("line"),
+        "formula", "lib_mz", "adduct", "esi_mode", "mz", "intensity",
     )
 
 

@@ -108,6 +108,14 @@ def parse_records(records: DataFrame, labels: MspLabels = DEFAULT_LABELS) -> Dat
     return once.select(*rest, F.inline(F.array(fields))).dropna(subset=required).filter(F.size("peak_lines") > 0)
 
 
+def list_peaks(records: DataFrame) -> DataFrame:
+    """``peaks`` in place of ``peak_lines``: the rows of ``explode_peaks``, listed."""
+    number = lambda line, part: F.substring_index(line, " ", part).try_cast("double")
+    peak = lambda line, at: F.struct(at.alias("pos"), number(line, 1).alias("mz"), number(line, -1).alias("intensity"))
+    told = F.filter(F.transform("peak_lines", peak), lambda p: p["mz"].isNotNull() & p["intensity"].isNotNull())
+    return records.withColumn("peaks", told).drop("peak_lines")
+
+
 def explode_peaks(records: DataFrame, key: str) -> DataFrame:
     """One row per peak line: mz before the first space, intensity after the last."""
     lines = records.select(key, F.posexplode("peak_lines").alias("pos", "line"))

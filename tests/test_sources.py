@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ionloom.plans import catalogue
 from ionloom.operators import fingerprint
 from ionloom.operators.spectra import build_spectra
 from ionloom.sources import files, fingerprints, msp, mzml
@@ -182,3 +183,20 @@ def test_fields_are_cut_without_lists_of_lines(spark):
     # only the peak lines become a list that is filtered
     plan = parsed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("filter(split(") <= 2 and "_lines#" not in plan.replace("peak_lines#", "")
+
+
+def test_parsed_records_are_exchanged_once(spark, tmp_path):
+    items = [(i, 1 + i % 3, i * 7 % 40, i % 9, 900.0 + i / 4, float(1 + i % 50)) for i in range(200)]
+    kinds = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double"
+    spark.createDataFrame([*items, *items[:20]], kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalogue.QUERIES["msp_parse"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+    expected = {
+        (i, line, p, mz, x) for i, line, part, _, p, q in items if part % 10 != 9
+        for mz, x in [(round(p - 5, 2), q), (p, q + 1), *([(7.5, 0.5)] if q < 5 else [])]
+    }
+    rows = [(r.id, r.line, r.lib_mz, r.mz, r.intensity) for r in found.collect()]
+    assert len(rows) == len(expected) and set(rows) == expected
+    listed = msp.list_peaks(spark.createDataFrame([(1, ["5.5 x 3", "a 4", "6 b", "7 8"])], "k int, peak_lines array<string>"))
+    assert [tuple(p) for p in listed.first().peaks] == [(0, 5.5, 3.0), (3, 7.0, 8.0)]
