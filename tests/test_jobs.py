@@ -81,6 +81,15 @@ def test_flat_job(spark, inputs):
     assert annotate.flat_matches(spectra, peaks, negative, fragments, "p", 5, 30, min_coverage=0.9, by_title=True).count() == 12
 
 
+def test_library_texts_are_parsed_once(spark, inputs):
+    spectra, peaks, library, fragments = inputs
+    flat = library.withColumn("title", F.concat(F.lit("DB#: "), F.regexp_replace("title", ".*_DES_", "")))
+    for found in (annotate.flat_candidates(spectra, peaks, flat, fragments, "p", 5, 30), annotate.hierarchical_candidates(*inputs, "p", 5, 30, 0.1)):
+        plan = found._jdf.queryExecution().executedPlan().toString().lower()
+        # the entries come from what was written, not from the titles
+        assert "_des_" not in plan and "db#" not in plan and found.count() in (12, 24)
+
+
 def test_workers_need_no_installed_package(tmp_path):
     code = (
         f"import sys; sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})\n"
